@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from . import chat_format, exact_dedup, license_scan, packing, token_counts
+from . import bpe, chat_format, exact_dedup, license_scan, packing, token_counts
 
 QUERIES = {
     "op1_packing": packing.op1_packing,
+    "op3_bpe": bpe.op3_bpe,
     "op4_token_counts": token_counts.op4_token_counts,
     "op5_exact_dedup": exact_dedup.op5_exact_dedup,
     "op6_chat_format": chat_format.op6_chat_format,
