@@ -2,17 +2,20 @@
 
 from __future__ import annotations
 
-from . import bpe, chat_format, exact_dedup, license_scan, packing, token_counts
+from . import bpe, chat_format, embedding_dedup, exact_dedup, license_scan, packing, quality, token_counts
 
 QUERIES = {
     "op1_packing": packing.op1_packing,
+    "op2_embedding_dedup": embedding_dedup.op2_embedding_dedup,
     "op3_bpe": bpe.op3_bpe,
     "op4_token_counts": token_counts.op4_token_counts,
     "op5_exact_dedup": exact_dedup.op5_exact_dedup,
     "op6_chat_format": chat_format.op6_chat_format,
+    "op8_quality": quality.op8_quality,
     "op10_license_scan": license_scan.op10_license_scan,
 }
 ORACLES = {
+    "op2_embedding_dedup": embedding_dedup.ORACLE,
     "op4_token_counts": token_counts.ORACLE,
     "op5_exact_dedup": exact_dedup.ORACLE,
     "op6_chat_format": chat_format.ORACLE,
