@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, chat_format, embedding_dedup, exact_dedup, license_scan, packing, quality, token_counts
+from . import bpe, chat_format, embedding_dedup, exact_dedup, license_scan, ngram_jaccard, packing, quality, token_counts
 
 QUERIES = {
     "op1_packing": packing.op1_packing,
@@ -11,10 +11,12 @@ QUERIES = {
     "op4_token_counts": token_counts.op4_token_counts,
     "op5_exact_dedup": exact_dedup.op5_exact_dedup,
     "op6_chat_format": chat_format.op6_chat_format,
+    "op7_ngram_jaccard": ngram_jaccard.op7_ngram_jaccard,
     "op8_quality": quality.op8_quality,
     "op10_license_scan": license_scan.op10_license_scan,
 }
 ORACLES = {
+    "op7_ngram_jaccard": ngram_jaccard.ORACLE,
     "op2_embedding_dedup": embedding_dedup.ORACLE,
     "op4_token_counts": token_counts.ORACLE,
     "op5_exact_dedup": exact_dedup.ORACLE,
