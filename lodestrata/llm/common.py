@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -41,7 +42,20 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     executor costs no recomputation of what came before."""
     path = scratch(df.sparkSession, name)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._stored_at = path
+    return out
+
+
+def drop_stored(*frames: DataFrame) -> None:
+    """Delete what stored() wrote, once nothing reads it any more, and let Spark clean the shuffles
+    of finished steps (it does so when the driver collects its garbage)."""
+    for df in frames:
+        context = df.sparkSession.sparkContext
+        where = context._jvm.org.apache.hadoop.fs.Path(df._stored_at)
+        where.getFileSystem(context._jsc.hadoopConfiguration()).delete(where, True)
+    gc.collect()
+    SparkSession.active().sparkContext._jvm.System.gc()
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, chat_format, embedding_dedup, exact_dedup, license_scan, ngram_jaccard, packing, quality, token_counts
+from . import bpe, chat_format, embedding_dedup, exact_dedup, katz, license_scan, ngram_jaccard, packing, quality, token_counts
 
 QUERIES = {
     "op1_packing": packing.op1_packing,
@@ -13,6 +13,7 @@ QUERIES = {
     "op6_chat_format": chat_format.op6_chat_format,
     "op7_ngram_jaccard": ngram_jaccard.op7_ngram_jaccard,
     "op8_quality": quality.op8_quality,
+    "op9_katz_lm": katz.op9_katz_lm,
     "op10_license_scan": license_scan.op10_license_scan,
 }
 ORACLES = {
