@@ -64,3 +64,12 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def shards(spark: SparkSession) -> int:
     return max(8, int(spark.conf.get("spark.sql.shuffle.partitions")))
+
+
+def only_ids(docs: DataFrame, ids: DataFrame, id_col: str = "doc_id") -> DataFrame:
+    """The rows of docs, all columns, whose id is among the one column of ids; null equals null."""
+    name = "_kept_id"
+    while name in docs.columns:
+        name += "_"
+    wanted = ids.toDF(name).distinct()
+    return docs.join(wanted, docs[id_col].cast("long").eqNullSafe(wanted[name]), "left_semi")
