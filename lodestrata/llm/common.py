@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import gc
 import tempfile
+import time
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -54,8 +55,10 @@ def drop_stored(*frames: DataFrame) -> None:
         context = df.sparkSession.sparkContext
         where = context._jvm.org.apache.hadoop.fs.Path(df._stored_at)
         where.getFileSystem(context._jsc.hadoopConfiguration()).delete(where, True)
-    gc.collect()
-    SparkSession.active().sparkContext._jvm.System.gc()
+    for _ in range(2):  # what the first round frees may hold what the second does
+        gc.collect()
+        SparkSession.active().sparkContext._jvm.System.gc()
+        time.sleep(0.3)
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:

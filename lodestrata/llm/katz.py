@@ -44,12 +44,30 @@ UNKNOWN, START, FIRST_ID = 0, 1, 2
 END = np.uint64(0x656E642D6F662D74)
 
 
+_CODEC = pa.Codec("zstd", 1)
+
+
 def _pack(x: np.ndarray) -> bytes:
-    return zlib.compress(np.ascontiguousarray(x).tobytes(), 1)
+    """An array, compressed by planes of bytes: numbers are small, so most planes are nearly empty."""
+    planes = np.ascontiguousarray(np.ascontiguousarray(x).view(np.uint8).reshape(-1, x.itemsize).T)
+    return len(x).to_bytes(8, "little") + _CODEC.compress(planes, asbytes=True)
 
 
 def _unpack(b: bytes, kind) -> np.ndarray:
-    return np.frombuffer(zlib.decompress(b), kind)
+    n, size = int.from_bytes(b[:8], "little"), np.dtype(kind).itemsize
+    planes = np.frombuffer(_CODEC.decompress(b[8:], n * size), np.uint8).reshape(size, -1)
+    return np.ascontiguousarray(planes.T).view(kind).ravel()
+
+
+def _pack_pairs(pairs: np.ndarray) -> bytes:
+    """Rising pairs: the steps of the histories, and the words as they are."""
+    steps = _pack(np.diff(pairs >> np.uint64(32), prepend=np.uint64(0)).astype(np.uint32))
+    return len(steps).to_bytes(8, "little") + steps + _pack(pairs.astype(np.uint32))
+
+
+def _unpack_pairs(b: bytes) -> np.ndarray:
+    n = int.from_bytes(b[:8], "little")
+    return (np.cumsum(_unpack(b[8 : 8 + n], np.uint32), dtype=np.uint64) << np.uint64(32)) | _unpack(b[8 + n :], np.uint32)
 
 
 def _batch(schema: str, rows: list[tuple]) -> pa.RecordBatch:
@@ -96,7 +114,8 @@ def _chunks(docs: DataFrame) -> DataFrame:
 # --- words -------------------------------------------------------------------------------------
 
 _WORDS = "p int, chunk long, vocab binary, counts binary"
-_NUMBERED = "chunk long, p int, ids binary, totals binary, stats array<long>"
+_NUMBERED = "chunk long, p int, ranks binary, totals binary, stats array<long>, classes array<long>"
+_CLASSES = 64
 
 
 def _targets(x: np.ndarray, parts: int) -> np.ndarray:
@@ -139,7 +158,7 @@ def _histogram(counts: np.ndarray) -> list[int]:
     return [*of[1 : DISCOUNTED + 2].tolist(), len(counts), int(counts.sum())]
 
 
-def _number_words(parts: int):
+def _number_words():
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for group in _grouped(batches):
             p = group[0][0]
@@ -147,24 +166,43 @@ def _number_words(parts: int):
             vocab, at = np.unique(np.concatenate(words), return_inverse=True)
             totals = np.bincount(at, np.concatenate([_unpack(r[3], np.uint32) for r in group]), len(vocab)).astype(np.int64)
             known = totals > 0
-            ids = np.where(known, (np.cumsum(known) - 1) * parts + p + FIRST_ID, UNKNOWN)
-            if ids.max(initial=0) >= 1 << 32:
-                raise ValueError("more than 2**32 distinct words")
-            rows = [(None, p, None, None, _histogram(totals[known]))]
+            # words are numbered by classes of frequency, so that numbers of frequent words are small
+            of = _class(totals)
+            order = np.argsort(of, kind="stable")
+            size = np.bincount(of, minlength=_CLASSES)
+            rank = np.empty(len(vocab), np.int64)
+            rank[order] = np.arange(len(vocab)) - np.repeat(np.cumsum(size) - size, size)
+            rows = [(None, p, None, None, _histogram(totals[known]), size.tolist())]
             start = 0
             for (_, chunk, _, _), w in zip(group, words):
                 mine = at[start : start + len(w)]
                 start += len(w)
-                rows.append((chunk, p, _pack(ids[mine].astype(np.uint32)), _pack(totals[mine]), None))
+                rows.append((chunk, p, _pack(rank[mine].astype(np.uint32)), _pack(totals[mine]), None, None))
             yield from _emit(_NUMBERED, rows)
 
     return run
 
 
+def _class(totals: np.ndarray) -> np.ndarray:
+    """0 for unknown words, 1 and up by powers of two of the count."""
+    return np.where(totals > 0, np.frexp(totals.astype(np.float64))[1], 0)
+
+
+def _class_starts(largest: list[int], parts: int) -> np.ndarray:
+    """The first number of each class, frequent classes first, from the most words that a partition has."""
+    start, at = np.zeros(_CLASSES, np.int64), FIRST_ID
+    for k in range(_CLASSES - 1, 0, -1):
+        start[k] = at
+        at += largest[k] * parts
+    if at >= 1 << 32:
+        raise ValueError("more than 2**32 distinct words")
+    return start
+
+
 _TOKENS = "chunk long, doc_ids array<long>, held binary, lengths binary, ids binary, totals binary, tokens binary"
 
 
-def _apply_numbers(parts: int):
+def _apply_numbers(parts: int, starts: np.ndarray):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for chunk, doc_ids, held, lengths, vocab, tokens, replies in zip(*(c.to_pylist() for c in batch.columns)):
@@ -173,9 +211,11 @@ def _apply_numbers(parts: int):
                 at = {r["p"]: r for r in replies}
                 target = _targets(vocab, parts)
                 for mine in _split(target):
-                    reply = at[int(target[mine[0]])]
-                    ids[mine], totals[mine] = _unpack(reply["ids"], np.uint32), _unpack(reply["totals"], np.int64)
-                yield _batch(_TOKENS, [(chunk, doc_ids, held, lengths, ids.tobytes(), _pack(totals), tokens)])
+                    p = int(target[mine[0]])
+                    total = _unpack(at[p]["totals"], np.int64)
+                    number = starts[_class(total)] + _unpack(at[p]["ranks"], np.uint32).astype(np.int64) * parts + p
+                    ids[mine], totals[mine] = np.where(total > 0, number, UNKNOWN), total
+                yield _batch(_TOKENS, [(chunk, doc_ids, held, lengths, _pack(ids), _pack(totals), tokens)])
 
     return run
 
@@ -245,7 +285,7 @@ def _weights(seen: np.ndarray, lower: np.ndarray, count: np.ndarray, d: np.ndarr
 # --- bigrams -----------------------------------------------------------------------------------
 
 _PAIRS = "p int, kind int, chunk long, pairs binary, follower binary, history binary, more binary, extra binary"
-_TABLE = "p int, pairs binary, counts binary, histories binary, seen binary, lower binary, stats array<long>, wide binary"
+_TABLE = "p int, pairs binary, counts binary, histories binary, occur binary, seen binary, lower binary, stats array<long>, wide binary"
 
 
 def _history_and_counts(ids, totals, tokens, lengths, texts: int):
@@ -260,7 +300,7 @@ def _history_and_counts(ids, totals, tokens, lengths, texts: int):
 
 def _read_tokens(row) -> tuple:
     chunk, doc_ids, held, lengths, ids, totals, tokens = row
-    return chunk, doc_ids, np.frombuffer(held, np.uint8), np.frombuffer(lengths, np.int64), np.frombuffer(ids, np.uint32), _unpack(totals, np.int64), _unpack(tokens, np.uint32)
+    return chunk, doc_ids, np.frombuffer(held, np.uint8), np.frombuffer(lengths, np.int64), _unpack(ids, np.uint32), _unpack(totals, np.int64), _unpack(tokens, np.uint32)
 
 
 def _count_requests(numbers: Numbers):
@@ -275,7 +315,7 @@ def _count_requests(numbers: Numbers):
                     continue
                 c, h, ch, w = c[train][first], h[train][first], ch[train][first], w[train][first]
                 target = numbers.target(h, w, ch)
-                yield from _emit(_PAIRS, [(int(target[at[0]]), 1, chunk, _pack(np.diff(pairs[at], prepend=np.uint64(0))), _pack(c[at]), _pack(ch[at]), _pack(n[at].astype(np.uint32)), None) for at in _split(target)])
+                yield from _emit(_PAIRS, [(int(target[at[0]]), 1, chunk, _pack_pairs(pairs[at]), _pack(c[at]), _pack(ch[at]), _pack(n[at].astype(np.uint32)), None) for at in _split(target)])
 
     return run
 
@@ -283,7 +323,7 @@ def _count_requests(numbers: Numbers):
 def _count_pairs(numbers: Numbers):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for group in _grouped(batches):
-            keys = np.concatenate([np.cumsum(_unpack(r[3], np.uint64), dtype=np.uint64) for r in group])
+            keys = np.concatenate([_unpack_pairs(r[3]) for r in group])
             pairs, first, at = np.unique(keys, return_index=True, return_inverse=True)
             counts = np.bincount(at, np.concatenate([_unpack(r[6], np.uint32) for r in group]), len(pairs)).astype(np.int64)
             lower = numbers.word_prob(np.concatenate([_unpack(r[4], np.int64) for r in group])[first])
@@ -296,7 +336,7 @@ def _count_pairs(numbers: Numbers):
             # what partitions of one history must add up
             wide = numbers.salts(of) > 1
             part = np.column_stack([histories[wide].astype(np.float64), of[wide].astype(np.float64), seen[wide].astype(np.float64), mass[wide]])
-            yield _batch(_TABLE, [(group[0][0], _pack(np.diff(pairs, prepend=np.uint64(0))), _pack(counts), histories.tobytes(), _pack(seen.astype(np.uint32)), mass.tobytes(), _histogram(counts), part.tobytes())])
+            yield _batch(_TABLE, [(group[0][0], _pack_pairs(pairs), _pack(counts), _pack(histories), _pack(of), _pack(seen.astype(np.uint32).ravel()), mass.tobytes(), _histogram(counts), part.tobytes())])
 
     return run
 
@@ -311,13 +351,15 @@ def _score_requests(numbers: Numbers):
                 base = np.log10((c + 0.1) / (numbers.tokens + 0.1 * (numbers.distinct + 1)))
                 sums = [np.bincount(doc, x, len(lengths)) for x in (base, c > 0, np.where(ch > 0, 0.0, np.log10(numbers.word_prob(c))))]
                 rows = [(chunk % numbers.parts, 2, chunk, np.array([-1 if i is None else i for i in doc_ids], np.int64).tobytes(), lengths.tobytes(), held.tobytes(), np.concatenate(sums).tobytes(), np.array([i is None for i in doc_ids], np.uint8).tobytes())]
-                ask = np.flatnonzero(ch > 0)
-                pairs = (h[ask].astype(np.uint64) << np.uint64(32)) | w[ask]
-                order = np.lexsort((doc[ask], pairs))
-                pairs, ask = pairs[order], ask[order]
-                target = numbers.target(h[ask], w[ask], ch[ask])
-                for at in _split(target):
-                    rows.append((int(target[at[0]]), 1, chunk, _pack(np.diff(pairs[at], prepend=np.uint64(0))), _pack(c[ask][at]), _pack(ch[ask][at]), _pack(doc[ask][at].astype(np.uint32)), None))
+                # in training every pair is known: only texts that are held out can need P(w)
+                out = np.repeat(held > 0, lengths)
+                for kind, ask in ((1, np.flatnonzero(~out & (ch > 0))), (3, np.flatnonzero(out & (ch > 0)))):
+                    pairs = (h[ask].astype(np.uint64) << np.uint64(32)) | w[ask]
+                    order = np.argsort(pairs, kind="stable")
+                    pairs, ask = pairs[order], ask[order]
+                    for at in _split(numbers.target(h[ask], w[ask], ch[ask])):
+                        p = int(numbers.target(h[ask[at[:1]]], w[ask[at[:1]]], ch[ask[at[:1]]])[0])
+                        rows.append((p, kind, chunk, _pack_pairs(pairs[at]), _pack(c[ask[at]]) if kind == 3 else None, None, _pack(doc[ask[at]].astype(np.uint32)), None))
                 yield from _emit(_PAIRS, rows)
 
     return run
@@ -331,19 +373,17 @@ def _score_pairs(numbers: Numbers):
         at, table = None, None
         for batch in batches:
             rows = []
-            for p, kind, chunk, pairs, follower, history, more, extra in zip(*(c.to_pylist() for c in batch.columns)):
+            for p, kind, chunk, pairs, follower, history, more, extra, occur in zip(*(c.to_pylist() for c in batch.columns)):
                 if p != at:
                     at, table = p, None
                 if kind == 0:
-                    counts = _unpack(follower, np.int64)
-                    histories, seen, mass = np.frombuffer(history, np.uint32), _unpack(more, np.uint32).reshape(-1, DISCOUNTED), np.frombuffer(extra, np.float64)
-                    table = (np.cumsum(_unpack(pairs, np.uint64), dtype=np.uint64), counts, histories, seen, mass)
+                    seen, mass = _unpack(more, np.uint32).reshape(-1, DISCOUNTED), np.frombuffer(extra, np.float64)
+                    table = _Table(numbers, _unpack_pairs(pairs), _unpack(follower, np.int64), _unpack(history, np.uint32), _unpack(occur, np.int64), seen, mass)
                 elif kind == 2:
                     rows.append((chunk, 0, pairs, follower, history, more, extra))
                 else:
-                    key = np.cumsum(_unpack(pairs, np.uint64), dtype=np.uint64)
-                    c, ch, doc = _unpack(follower, np.int64), _unpack(history, np.int64), _unpack(more, np.uint32)
-                    score = _pair_scores(numbers, table, key, c, ch)
+                    score = table.score(_unpack_pairs(pairs), _unpack(follower, np.int64) if kind == 3 else None)
+                    doc = _unpack(more, np.uint32)
                     who, place = np.unique(doc, return_inverse=True)
                     rows.append((chunk, 1, who.astype(np.uint32).tobytes(), np.bincount(place, score, len(who)).tobytes(), None, None, None))
             yield from _emit(_PARTIAL, rows)
@@ -351,27 +391,34 @@ def _score_pairs(numbers: Numbers):
     return run
 
 
-def _pair_scores(numbers: Numbers, table: tuple | None, key: np.ndarray, c: np.ndarray, ch: np.ndarray) -> np.ndarray:
-    """log10 P(w | h) of tokens whose history occurs in training."""
-    none = np.zeros(0)
-    pairs, counts, histories, seen, mass = table or (none.astype(np.uint64), none.astype(np.int64), none.astype(np.uint32), np.zeros((0, DISCOUNTED)), none)
-    n = np.zeros(len(key), np.int64)
-    if len(pairs):
-        spot = np.minimum(np.searchsorted(pairs, key), len(pairs) - 1)
-        n = np.where(pairs[spot] == key, counts[spot], 0)
-    h, first, back = np.unique((key >> np.uint64(32)).astype(np.uint32), return_index=True, return_inverse=True)
-    of = ch[first]
-    where = np.minimum(np.searchsorted(histories, h), max(len(histories) - 1, 0))
-    found = histories[where] == h if len(histories) else np.zeros(len(h), bool)
-    alpha, extra = np.ones(len(h)), np.zeros(len(h), np.int64)
-    narrow = found & (numbers.salts(of) == 1)
-    if narrow.any():
-        alpha[narrow], extra[narrow] = _weights(seen[where[narrow]], mass[where[narrow]], of[narrow], numbers.discounts)
-    for i in np.flatnonzero(numbers.salts(of) > 1):
-        alpha[i], extra[i] = numbers.wide[int(h[i])]
-    d = np.where(n > DISCOUNTED, 1.0, numbers.discounts[np.minimum(n, DISCOUNTED)])
-    p = np.where(n > 0, d * n / (ch + extra[back]), alpha[back] * numbers.word_prob(c))
-    return np.log10(np.maximum(p, 1e-300))
+class _Table:
+    """The bigrams of one partition, ready to be looked up."""
+
+    def __init__(self, numbers: Numbers, pairs, counts, histories, occur, seen, mass):
+        self.pairs, self.histories, self.numbers = pairs, histories, numbers
+        self.alpha, extra = _weights(seen, mass, occur, numbers.discounts)
+        for i in np.flatnonzero(numbers.salts(occur) > 1):
+            self.alpha[i], extra[i] = numbers.wide[int(histories[i])]
+        d = np.where(counts > DISCOUNTED, 1.0, numbers.discounts[np.minimum(counts, DISCOUNTED)])
+        total = (occur + extra)[np.searchsorted(histories, (pairs >> np.uint64(32)).astype(np.uint32))]
+        self.known = np.log10(d * counts / total)
+
+    def score(self, key: np.ndarray, c: np.ndarray | None) -> np.ndarray:
+        """log10 P(w | h) of pairs whose history occurs in training; c: the words' counts."""
+        spot = np.minimum(np.searchsorted(self.pairs, key), len(self.pairs) - 1)
+        score = self.known[spot]
+        if c is not None and len(miss := np.flatnonzero(self.pairs[spot] != key)):
+            alpha = self._alpha((key[miss] >> np.uint64(32)).astype(np.uint32))
+            score[miss] = np.log10(np.maximum(alpha * self.numbers.word_prob(c[miss]), 1e-300))
+        return score
+
+    def _alpha(self, h: np.ndarray) -> np.ndarray:
+        spot = np.minimum(np.searchsorted(self.histories, h), len(self.histories) - 1)
+        alpha = self.alpha[spot]
+        # a history dealt over partitions may have none of its followers in this one
+        for i in np.flatnonzero(self.histories[spot] != h):
+            alpha[i] = self.numbers.wide[int(h[i])][0]
+        return alpha
 
 
 _SCORED = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
@@ -411,12 +458,14 @@ def fit(docs: DataFrame) -> KatzModel:
     total, texts = chunks.agg(F.sum("n_train"), F.sum("d_train")).first()
     parts = max(4 * shards(spark), (total or 0) // PARTITION_TOKENS)
     words = chunks.select("chunk", "vocab", "counts").mapInArrow(_word_requests(parts), _WORDS)
-    numbered = stored(_dealt(words).mapInArrow(_number_words(parts), _NUMBERED), "words")
+    numbered = stored(_dealt(words).mapInArrow(_number_words(), _NUMBERED), "words")
     stats = _sum_stats(numbered)
     numbers = _word_numbers(stats, parts, texts or 0)
-    replies = numbered.filter("chunk is not null").groupBy("chunk").agg(F.collect_list(F.struct("p", "ids", "totals")).alias("replies"))
+    replies = numbered.filter("chunk is not null").groupBy("chunk").agg(F.collect_list(F.struct("p", "ranks", "totals")).alias("replies"))
     joined = chunks.select("chunk", "doc_ids", "held", "lengths", "vocab", "tokens").join(replies, "chunk")
-    tokens = stored(joined.mapInArrow(_apply_numbers(parts), _TOKENS), "tokens")
+    largest = dict(map(tuple, numbered.filter("classes is not null").select(F.posexplode("classes")).groupBy("pos").agg(F.max("col")).collect()))
+    starts = _class_starts([largest.get(k, 0) for k in range(_CLASSES)], parts)
+    tokens = stored(joined.mapInArrow(_apply_numbers(parts, starts), _TOKENS), "tokens")
     drop_stored(chunks, numbered)
     pairs = tokens.mapInArrow(_count_requests(numbers), _PAIRS)
     table = stored(_dealt(pairs).mapInArrow(_count_pairs(numbers), _TABLE), "pairs")
@@ -443,9 +492,9 @@ def _sum_stats(rows: DataFrame) -> list[int]:
 
 def score(model: KatzModel) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score of the model's chunks."""
-    table = model.table.select("p", F.lit(0).alias("kind"), F.lit(None).cast("long").alias("chunk"), "pairs", F.col("counts").alias("follower"), F.col("histories").alias("history"), F.col("seen").alias("more"), F.col("lower").alias("extra"))
+    table = model.table.select("p", F.lit(0).alias("kind"), F.lit(None).cast("long").alias("chunk"), "pairs", F.col("counts").alias("follower"), F.col("histories").alias("history"), F.col("seen").alias("more"), F.col("lower").alias("extra"), "occur")
     asked = model.tokens.mapInArrow(_score_requests(model.numbers), _PAIRS)
-    parts = _dealt(table.unionByName(asked), "kind").mapInArrow(_score_pairs(model.numbers), _PARTIAL)
+    parts = _dealt(table.unionByName(asked, allowMissingColumns=True), "kind").mapInArrow(_score_pairs(model.numbers), _PARTIAL)
     return parts.groupBy("chunk").applyInArrow(_finish(model.numbers), _SCORED)
 
 
