@@ -13,7 +13,8 @@ Ledger files are never rewritten but by compact(), which replaces them by their
 Defined cases: null source or lang form groups of their own; null counts count as 0; an insertion of
 a live key counts as a revision; a deletion or revision of a key that isn't live has no effect, but a
 revision inserts where it names source and lang; within one batch the last change of a key by `order`
-(then by op, count) holds, repeated rows count once; rows with null doc_id or tokenizer are ignored;
+(then by op, count) holds, repeated rows count once; rows with null doc_id or
+tokenizer, or another op, are ignored;
 other columns are ignored.
 """
 
@@ -102,10 +103,10 @@ class RollupStore:
             if "order" not in changes.columns:
                 changes = changes.withColumn("order", F.lit(0))
             fields = [F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), F.col("lang").cast("string").alias("lang"), F.col("tokenizer").cast("string").alias("tokenizer")]
-            new = changes.select(*fields, "op", F.coalesce(F.col("tokens").cast("long"), F.lit(0).cast("long")).alias("tokens"), "order").filter("doc_id is not null and tokenizer is not null")
+            new = changes.select(*fields, "op", F.coalesce(F.col("tokens").cast("long"), F.lit(0).cast("long")).alias("tokens"), "order").filter("doc_id is not null and tokenizer is not null and op in ('insert', 'revise', 'delete')")
             new = new.groupBy(*KEY).agg(F.max(F.struct("order", "op", "tokens", "source", "lang")).alias("c")).select(*KEY, "c.op", "c.tokens", "c.source", "c.lang")
             if not commits:  # nothing is live yet: no join
-                delta = new.filter("op <> 'delete'").select("doc_id", "source", "lang", "tokenizer", F.lit(1).cast("long").alias("docs"), "tokens")
+                delta = new.filter("op = 'insert' or op = 'revise' and (source is not null or lang is not null)").select("doc_id", "source", "lang", "tokenizer", F.lit(1).cast("long").alias("docs"), "tokens")
             else:
                 old = self.live(commits).select(*[F.col(c).alias(f"old_{c}") for c in ("doc_id", "tokenizer", "source", "lang", "tokens")])
                 both = new.join(old, (F.col("doc_id") == F.col("old_doc_id")) & (F.col("tokenizer") == F.col("old_tokenizer")), "left")

@@ -1,0 +1,63 @@
+import zlib
+
+import numpy as np
+
+from lodestrata.llm import quality
+from lodestrata.llm.quality import Places, _dual_coordinate_descent, filter_quality, fit_quality, op8_quality, score_quality, train
+
+
+def test_held_out_accuracy(spark):
+    sf = "/root/testdata/sf0.1"
+    docs, labels = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet")
+    scored = op8_quality(spark, sf)
+    assert scored.count() == docs.count()
+    rows = scored.join(labels, "doc_id").collect()
+    for r in rows:
+        assert r["held_out"] == (zlib.crc32(str(r["doc_id"]).encode()) % 4 == 2) and 0 <= r["score"] <= 1
+        assert r["predicted"] == int(r["score"] >= 0.7)
+    held = [r for r in rows if r["held_out"]]
+    good, bad = [r["score"] for r in held if r["quality"] == 1], [r["score"] for r in held if r["quality"] == 0]
+    assert np.mean([[g > b for b in bad] for g in good]) > 0.99
+    assert np.mean([g >= 0.7 for g in good]) > 0.98 and np.mean([b < 0.7 for b in bad]) > 0.9
+
+
+def test_places_of_long_texts_are_those_of_the_whole(monkeypatch):
+    rnd = np.random.default_rng(1)
+    body = rnd.integers(0, 256, 5000).astype(np.uint8)
+    want = Places().of(body)
+    monkeypatch.setattr(quality, "_PIECE", 64)
+    assert Places().of(body).tolist() == want.tolist() and len(want) > 5000
+    assert len(Places().of(body[:0])) == 0 and len(Places().of(body[:1])) == 0
+
+
+def test_dual_coordinate_descent_reaches_the_optimum():
+    rnd = np.random.default_rng(2)
+    x = rnd.normal(size=(40, 5))
+    y = np.where(x[:, 0] + 0.3 * rnd.normal(size=40) > 0, 1.0, -1.0)
+    w = _dual_coordinate_descent([(np.arange(5), r) for r in x], y, 0.5, epochs=400)
+    full = np.append(w[:5], w[-1])
+    rows = np.hstack([x, np.ones((40, 1))])
+    loss = lambda v: v @ v / 2 + 0.5 * np.maximum(0, 1 - y * (rows @ v)).sum()
+    assert all(loss(full) <= loss(full + d) + 1e-3 for d in rnd.normal(size=(300, 6)) * 0.05)
+
+
+def test_one_class_or_none():
+    places = [np.array([1, 2]), np.array([3])]
+    assert train(places, np.array([1, 1])).score(np.array([1])) > 0.99
+    assert train(places, np.array([0, 0])).score(np.array([1])) < 0.01
+    assert train([], np.array([])).score(np.array([], int)) == 0.5
+
+
+def test_edges(spark):
+    rows = [(i, ("clean words here and there " * 3 if i % 2 else "JUNK!! $$$ ### !!! ") + str(i), "c", 0.0, i) for i in range(60)]
+    rows += [(None, "clean words here", "d", 1.0, 1), (100, None, "e", 1.0, 1), (101, "", "f", 1.0, 1), (101, "", "f", 1.0, 1), (102, "clean " * 60_000, "g", 1.0, 1)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, _quality string, score double, label int")
+    labels = spark.createDataFrame([(i, i % 2, 0) for i in range(60)] + [(None, 1, 0), (3, 0, 0), (5, None, 0), (7, 4, 0)], "doc_id long, quality int, toxic int")
+    model = fit_quality(docs, labels)
+    scored = score_quality(docs, model, "own").collect()
+    assert len(scored) == len(rows) and all(0 <= r["own"] <= 1 for r in scored)
+    kept = filter_quality(docs, labels)
+    assert kept.columns == docs.columns
+    assert {r["doc_id"] for r in kept.filter("doc_id < 60").collect()} == {i for i in range(60) if i % 2}
+    assert score_quality(docs.limit(0), model).isEmpty()
+    assert filter_quality(docs.limit(0), labels.limit(0)).isEmpty()
