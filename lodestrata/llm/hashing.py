@@ -55,7 +55,7 @@ def _pieces(values: np.ndarray, start: int, stop: int):
     while stop - start > PIECE:
         at = start + PIECE
         while at < stop:
-            white = np.flatnonzero(_SPACE[values[at : at + PIECE]])
+            white = np.flatnonzero(_SPACE[values[at : min(stop, at + PIECE)]])
             if len(white):
                 at += int(white[0])
                 break
