@@ -6,6 +6,7 @@ put it on the result; filters on values or on op stay above it, as they must.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
@@ -54,14 +55,15 @@ def multi_get(log: DataFrame, keys: DataFrame, snapshot: int | None = None) -> D
     return wanted.join(hits.withColumn("found", F.lit(True)), "key", "left").withColumn("found", F.coalesce("found", F.lit(False)))
 
 
-def positioned(rows: DataFrame, descending: bool = False, name: str = "pos") -> DataFrame:
+def positioned(rows: DataFrame, descending: bool = False, name: str = "pos", by: Callable[[Column], Column] | None = None) -> DataFrame:
     """Rows with their place in key order, from 1.
 
     One task would hold a window without partitions.  So ranges of keys are ranked apart, after the
     counts of the ranges before them, which are one row a range.
     """
     spark = rows.sparkSession
-    order = F.col("key").desc() if descending else F.col("key").asc()
+    key = (by or (lambda key: key))(F.col("key"))
+    order = key.desc() if descending else key.asc()
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     ranges = rows.repartitionByRange(n, order).withColumn("_range", F.spark_partition_id())
     inside = ranges.withColumn("_at", F.row_number().over(Window.partitionBy("_range").orderBy(order)))
@@ -71,14 +73,20 @@ def positioned(rows: DataFrame, descending: bool = False, name: str = "pos") ->
     return inside.join(F.broadcast(offsets), "_range").withColumn(name, (F.col("_at") + F.col("_offset")).cast("long")).drop("_range", "_at", "_offset")
 
 
-def scan(log: DataFrame, lo=None, hi=None, snapshot: int | None = None, reverse: bool = False) -> DataFrame:
-    """The live rows with lo <= key < hi, in key order."""
-    rows = live(log, snapshot)
+def scan(log: DataFrame, lo=None, hi=None, snapshot: int | None = None, reverse: bool = False, by: Callable[[Column], Column] | None = None) -> DataFrame:
+    """The live rows with lo <= key < hi, in key order.
+
+    by: another order, as an expression of the key that is compared by its own order, such as
+    lambda key: F.collate(key, "UNICODE_CI").  Without one a key is compared by its bytes, and the
+    bounds reach the Parquet scan.
+    """
+    by = by or (lambda key: key)
+    rows, key = live(log, snapshot), by(F.col("key"))
     if lo is not None:
-        rows = rows.filter(F.col("key") >= lo)
+        rows = rows.filter(key >= by(F.lit(lo)))
     if hi is not None:
-        rows = rows.filter(F.col("key") < hi)
-    return rows.orderBy(F.col("key").desc() if reverse else F.col("key"))
+        rows = rows.filter(key < by(F.lit(hi)))
+    return rows.orderBy(key.desc() if reverse else key)
 
 
 def seek(log: DataFrame, target, snapshot: int | None = None) -> DataFrame:

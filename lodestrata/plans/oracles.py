@@ -40,6 +40,7 @@ ORACLES = {
     "seek_lower_bound": f"WITH {_LIVE} SELECT * FROM live WHERE key >= '{_KEY}5' ORDER BY key LIMIT 1",
     "range_scan": f"WITH {_LIVE} SELECT *, {_POS} FROM live WHERE key >= '{_FROM}' AND key < '{_TO}'",
     "prefix_scan": f"WITH {_LIVE} SELECT *, {_POS} FROM live WHERE starts_with(key, '000000000')",
+    "custom_order_scan": f"WITH {_LIVE} SELECT *, row_number() OVER (ORDER BY reverse(key)) AS pos FROM live WHERE reverse(key) >= reverse('0000000003') AND reverse(key) < reverse('0000000007')",
     "keyset_next": f"WITH {_LIVE} SELECT *, {_POS} FROM (SELECT * FROM live WHERE key > '{_FROM}' ORDER BY key LIMIT 5)",
     "keyset_prev": f"WITH {_LIVE} SELECT *, {_RPOS} FROM (SELECT * FROM live WHERE key < '{_TO}' ORDER BY key DESC LIMIT 5)",
     "snapshot_scan": f"WITH {_LOG}, b AS (SELECT * FROM ev WHERE seq <= {_SNAPSHOT}), {_head('b', 'h')} SELECT key, seq, event_type, value, {_POS} FROM h WHERE op = 1",

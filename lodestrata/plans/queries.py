@@ -106,6 +106,11 @@ def prefix_scan(spark, sf_dir):
     return V.positioned(V.prefix_scan(events_log(spark, sf_dir), "000000000"))
 
 
+def custom_order_scan(spark, sf_dir):
+    """A scan in another order than that of bytes: of keys read from their end."""
+    return V.positioned(V.scan(events_log(spark, sf_dir), "0000000003", "0000000007", by=F.reverse), by=F.reverse)
+
+
 def keyset_next(spark, sf_dir):
     return V.positioned(V.page(events_log(spark, sf_dir), 5, after=FROM))
 
@@ -360,7 +365,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         put_get_latest, delete_hides, get_missing, multi_get, as_of_get, memtable_get_at_seq, tiered_get, scan_forward,
-        scan_reverse, seek_lower_bound, range_scan, prefix_scan, keyset_next, keyset_prev, snapshot_scan, scan_count,
+        scan_reverse, seek_lower_bound, range_scan, prefix_scan, custom_order_scan, keyset_next, keyset_prev, snapshot_scan, scan_count,
         first_n, orders_live, lineitem_latest, kway_merge, version_history, newest_by_rank, compat_forward,
         compat_reverse, seq_assign, group_commit_state, level_scores, l0_closure, overlap_inputs, round_robin_pick,
         compact_merge, tombstone_gc, compaction_preserves_live, file_minmax_prune, find_file, range_overlap,
