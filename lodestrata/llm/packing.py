@@ -121,3 +121,33 @@ def pack(lengths: DataFrame, buckets: int = BUCKETS, token_budget: int = TOKEN_B
 
 def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(word_lengths(documents(spark, sf_dir)))
+
+
+def _oracle(buckets: int = BUCKETS, token_budget: int = TOKEN_BUDGET) -> str:
+    """SQL of op1_packing: the dynamic program as one join a layer, its path kept in a list.  Of equal
+    sums the latest boundary counts, and the fewest buckets, as in optimal_boundaries()."""
+    layers = ["l0 AS (SELECT j, len, total, CAST(len * total AS HUGEINT) AS area, CAST([] AS BIGINT[]) AS ends FROM h)"]
+    for k in range(1, buckets):
+        layers.append(
+            f"""l{k} AS (SELECT j, len, total, area, ends FROM (
+    SELECT b.j, b.len, b.total, a.area + b.len * (b.total - a.total) AS area, list_append(a.ends, a.len) AS ends,
+           row_number() OVER (PARTITION BY b.j ORDER BY a.area + b.len * (b.total - a.total), a.j DESC) AS r
+    FROM l{k - 1} a JOIN h b ON a.j < b.j) WHERE r = 1)"""
+        )
+    final = " UNION ALL ".join(f"SELECT {k} AS k, area, list_append(ends, len) AS ends FROM l{k} WHERE j = (SELECT max(j) FROM h)" for k in range(buckets))
+    return rf"""
+WITH d AS (SELECT doc_id, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS n_tokens FROM documents),
+w AS (SELECT *, CAST(ceil(greatest(n_tokens, 1) / step) * step AS BIGINT) AS width
+      FROM (SELECT *, pow(2, greatest(0, floor(log2(greatest(n_tokens, 1))) - {_EXACT_BITS - 1})) AS step FROM d)),
+h AS (SELECT row_number() OVER (ORDER BY width) AS j, width AS len, CAST(sum(n) OVER (ORDER BY width) AS BIGINT) AS total
+      FROM (SELECT width, count(*) AS n FROM w GROUP BY width)),
+{", ".join(layers)},
+best AS (SELECT ends FROM ({final}) ORDER BY area, k LIMIT 1),
+b AS (SELECT doc_id, n_tokens, CAST(len(list_filter(ends, lambda e: e < width)) AS INTEGER) AS bucket, ends FROM w, best),
+r AS (SELECT doc_id, n_tokens, bucket, ends[bucket + 1] AS bucket_width, row_number() OVER (PARTITION BY bucket ORDER BY doc_id) - 1 AS place FROM b)
+SELECT doc_id, n_tokens, bucket, bucket_width, place // greatest(1, {token_budget} // bucket_width) AS batch,
+       CAST(place % greatest(1, {token_budget} // bucket_width) AS INTEGER) AS slot, bucket_width - n_tokens AS padding FROM r
+"""
+
+
+ORACLE = _oracle()

@@ -17,6 +17,7 @@ QUERIES = {
     "op10_license_scan": license_scan.op10_license_scan,
 }
 ORACLES = {
+    "op1_packing": packing.ORACLE,
     "op7_ngram_jaccard": ngram_jaccard.ORACLE,
     "op2_embedding_dedup": embedding_dedup.ORACLE,
     "op4_token_counts": token_counts.ORACLE,
