@@ -9,8 +9,7 @@ What may be similar is found exactly, in steps that each read less:
 1. equal sets become one class, whose smallest id stands for it;
 2. signatures (see signatures.py) of which similar sets share one; classes without a shared one go;
 3. classes in which fewer shingles than any partner needs occur elsewhere go;
-4. classes that share a shingle of their prefix (as many of the smallest hashes as no partner can
-   miss) form clusters, which are searched in shards of bounded size.
+4. what is left forms clusters by shared signatures, which are searched in shards of bounded size.
 
 Scale: 2 and 3 are one exchange: each batch of texts sends its distinct keys, one a batch however
 often it has them, so a passage that every document holds is one key a batch.  Texts are shuffled
@@ -180,18 +179,18 @@ def _shingle_requests(texts: DataFrame, size: int, parts: int) -> DataFrame:
     return texts.select("rep", "text").mapInArrow(run, _REQUEST)
 
 
-_SETS = "rep long, n long, elements binary, prefix array<long>"
+_SETS = "rep long, n long, elements binary, signatures array<long>"
 
 
 def _sets(texts: DataFrame, size: int, num: int, den: int) -> DataFrame:
-    """The sets of texts, with the prefix: the smallest hashes, as many as no partner can miss."""
+    """The sets of texts, with their signatures."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             sets = shingle_sets(batch.column(1), size)
             n = [len(s) for s in sets]
-            prefix = [s[: k - -(-num * k // den) + 1].view(np.int64).tolist() for s, k in zip(sets, n)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary()), pa.array(prefix, pa.list_(pa.int64()))], ["rep", "n", "elements", "prefix"])
+            marks = [signatures(s, num / den).view(np.int64).tolist() for s in sets]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary()), pa.array(marks, pa.list_(pa.int64()))], ["rep", "n", "elements", "signatures"])
 
     return texts.select("rep", "text").mapInArrow(run, _SETS)
 
@@ -278,7 +277,7 @@ def _search_shard(num: int, den: int, only_guests: bool):
 
 def _links(sets: DataFrame, num: int, den: int) -> DataFrame:
     """(u, v): links that connect whatever is connected by similarity."""
-    lists = sets.select("rep", F.explode("prefix").alias("element"))
+    lists = sets.select("rep", F.explode("signatures").alias("element"))
     hubs = lists.groupBy("element").agg(F.min("rep").alias("hub"), F.max("rep").alias("_last")).filter("hub <> _last").drop("_last")
     near = lists.join(hubs, "element").filter("rep <> hub").select(F.col("hub").alias("u"), F.col("rep").alias("v")).distinct()
     clusters = connected_components(near).select(F.col("node").alias("rep"), F.col("component").alias("cluster"))
