@@ -107,50 +107,91 @@ def _requests(keys: np.ndarray, owners: np.ndarray, parts: int) -> Iterator[pa.R
         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows[i : i + 64]), (pa.int32(), pa.binary(), pa.binary(), pa.binary()))], ["p", "keys", "places", "owners"])
 
 
-def _count_shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(owner, n): how many of its keys each owner shares; rows come sorted by p."""
-
-    def out(owners: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(owners, pa.int64()), pa.array(n.astype(np.int64), pa.int64())], ["owner", "n"])
-
-    def solve(group: list) -> Iterator[pa.RecordBatch]:
-        keys = np.concatenate([g[0] for g in group])
-        owners = np.concatenate([g[1] for g in group])
-        counted = np.concatenate([g[2] for g in group])
-        order = np.lexsort((owners, keys))
-        keys, owners, counted = keys[order], owners[order], counted[order]
-        start = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
-        size = np.diff(np.append(start, len(keys)))
-        other = np.concatenate([[0], np.cumsum((owners[1:] != owners[:-1]) & (keys[1:] == keys[:-1]))])
-        several = (other[start + size - 1] - other[start] > 0) | np.logical_or.reduceat(counted, start)
-        hit = np.repeat(several, size) & ~counted
-        if hit.any():
-            yield out(*np.unique(owners[hit], return_counts=True))
+_COUNTS = "p int, owners binary, counts binary"
+
+
+def _summed(owners: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    who, at = np.unique(np.concatenate(owners), return_inverse=True)
+    return who, np.bincount(at, np.concatenate(counts), len(who)).astype(np.int64)
+
+
+def _solve(group: list) -> tuple[np.ndarray, np.ndarray]:
+    """(owners, how many of their keys in this group others have too)."""
+    keys, owners, counted = (np.concatenate(x) for x in zip(*group))
+    order = np.lexsort((owners, keys))
+    keys, owners, counted = keys[order], owners[order], counted[order]
+    start = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
+    size = np.diff(np.append(start, len(keys)))
+    other = np.concatenate([[0], np.cumsum((owners[1:] != owners[:-1]) & (keys[1:] == keys[:-1]))])
+    several = (other[start + size - 1] - other[start] > 0) | np.logical_or.reduceat(counted, start)
+    return np.unique(owners[np.repeat(several, size) & ~counted], return_counts=True)
+
+
+def _count_shared(parts: int):
+    """How many of its keys each owner shares, as far as one task sees; rows come sorted by p.
+
+    Owners that go to the same task leave together, so rows grow with tasks and not with owners.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, group, owners, counts = None, [], [], []
+
+        def add(found: tuple) -> None:
+            owners.append(found[0])
+            counts.append(found[1])
+            if len(owners) >= 16:
+                owners[:], counts[:] = ([x] for x in _summed(owners, counts))
+
+        for batch in batches:
+            for p, keys, places, table in zip(*(c.to_pylist() for c in batch.columns)):
+                table, marks = np.frombuffer(table, np.int64), np.frombuffer(places, np.uint32)
+                if not keys:
+                    add((table, marks))
+                    continue
+                if p != at and group:
+                    add(_solve(group))
+                    group = []
+                at = p
+                wide = np.zeros((len(marks), 8), np.uint8)
+                wide[:, :6] = np.frombuffer(keys, np.uint8).reshape(-1, 6)
+                group.append((wide.view("<u8").ravel(), table[marks & np.uint32(_COUNTED - 1)], marks >= _COUNTED))
+        if group:
+            add(_solve(group))
+        if owners:
+            who, n = _summed(owners, counts)
+            target = (mix(who.view(np.uint64)) % np.uint64(parts)).astype(np.int64)
+            by = np.argsort(target, kind="stable")
+            for part in np.split(by, np.flatnonzero(np.diff(target[by])) + 1):
+                if len(part):
+                    yield pa.RecordBatch.from_arrays([pa.array([int(target[part[0]])], pa.int32()), pa.array([who[part].tobytes()], pa.binary()), pa.array([n[part].tobytes()], pa.binary())], ["p", "owners", "counts"])
+
+    return run
+
+
+def _add_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(owner, n) from what the tasks saw; rows come sorted by p."""
+
+    def out(group: list) -> pa.RecordBatch:
+        who, n = _summed(*zip(*group))
+        return pa.RecordBatch.from_arrays([pa.array(who, pa.int64()), pa.array(n, pa.int64())], ["owner", "n"])
 
     at, group = None, []
     for batch in batches:
-        for p, keys, places, owners in zip(*(c.to_pylist() for c in batch.columns)):
-            table = np.frombuffer(owners, np.int64)
-            marks = np.frombuffer(places, np.uint32)
-            if not keys:
-                yield out(table, marks)
-                continue
+        for p, owners, counts in zip(*(c.to_pylist() for c in batch.columns)):
             if p != at and group:
-                yield from solve(group)
+                yield out(group)
                 group = []
             at = p
-            wide = np.zeros((len(marks), 8), np.uint8)
-            wide[:, :6] = np.frombuffer(keys, np.uint8).reshape(-1, 6)
-            group.append((wide.view("<u8").ravel(), table[marks & np.uint32(_COUNTED - 1)], marks >= _COUNTED))
+            group.append((np.frombuffer(owners, np.int64), np.frombuffer(counts, np.int64)))
     if group:
-        yield from solve(group)
+        yield out(group)
 
 
 def _shared_counts(requests: DataFrame) -> DataFrame:
-    """(owner, n) of requests, summed."""
+    """(owner, n) of requests: how many of an owner's keys some other owner has too."""
     n = shards(requests.sparkSession)
-    dealt = requests.repartition(n, "p").sortWithinPartitions("p")
-    return dealt.mapInArrow(_count_shared, "owner long, n long").groupBy("owner").agg(F.sum("n").alias("n"))
+    seen = requests.repartition(n, "p").sortWithinPartitions("p").mapInArrow(_count_shared(2 * n), _COUNTS)
+    return seen.repartition(n, "p").sortWithinPartitions("p").mapInArrow(_add_counts, "owner long, n long").filter("n > 0")
 
 
 def _signature_requests(docs: DataFrame, size: int, threshold: float, parts: int) -> DataFrame:
@@ -313,7 +354,9 @@ def similar_documents(docs: DataFrame, size: int = 5, percent: int = 80) -> Data
     # step 2: classes that share a signature
     likely = _shared_counts(_signature_requests(docs, size, num / den, parts)).select(F.col("owner").alias("set_a"))
     wanted = stored(classes.join(likely, "set_a", "left_semi"), "likely")
-    texts = _texts(docs).join(wanted.select(F.col("rep"), "n"), F.col("doc_id") == F.col("rep"), "inner").select("rep", "n", "text")
+    # a sort-merge join at every size: the wanted ids grow with the documents
+    ids = wanted.select("rep", "n").hint("merge")
+    texts = _texts(docs).join(ids, F.col("doc_id") == F.col("rep")).select("rep", "n", "text")
     texts = stored(texts, "texts")
     # step 3: classes of which enough shingles occur elsewhere
     shared = _shared_counts(_shingle_requests(texts, size, parts)).withColumnRenamed("owner", "_rep").withColumnRenamed("n", "shared")
