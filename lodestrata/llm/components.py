@@ -19,7 +19,7 @@ def _large_star(edges: DataFrame) -> DataFrame:
     both = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
     least = both.groupBy("u").agg(F.min("v").alias("least")).select(F.col("u").alias("w"), F.least("u", "least").alias("least"))
     larger = both.filter("v > u")
-    return larger.join(least, larger["u"] == least["w"]).select(F.col("v").alias("u"), F.col("least").alias("v")).filter("u <> v").distinct()
+    return larger.join(least, larger["u"] == least["w"]).select(F.col("v").alias("u"), F.col("least").alias("v")).filter("u <> v")
 
 
 def _small_star(edges: DataFrame) -> DataFrame:
@@ -35,11 +35,15 @@ def connected_components(edges: DataFrame) -> DataFrame:
     Self links and repeated links have no effect; nulls are dropped; no edges, no rows.
     """
     edges = edges.select("u", "v").filter("u is not null and v is not null and u <> v")
-    state = stored(edges, "edges")
-    before = None
-    while True:
-        now = state.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v"))).first()
-        if now == before or not now[0]:
-            return state.select(F.col("u").alias("node"), F.col("v").alias("component")).union(state.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
-        before = now
+    state = stored(_small_star(edges), "edges")
+    while not _are_stars(state):
         state = stored(_small_star(_large_star(state)), "stars")
+    roots = state.select(F.col("v").alias("node")).distinct()
+    return state.select(F.col("u").alias("node"), F.col("v").alias("component")).union(roots.select("node", F.col("node").alias("component")))
+
+
+def _are_stars(edges: DataFrame) -> bool:
+    """Whether every node has one edge to a smaller one, or only edges from larger ones."""
+    ends = edges.select(F.col("u").alias("node"), F.lit(1).alias("down"), F.lit(0).alias("up"))
+    ends = ends.union(edges.select("v", F.lit(0), F.lit(1)))
+    return ends.groupBy("node").agg(F.sum("down").alias("down"), F.max("up").alias("up")).filter("down + up > 1").isEmpty()
