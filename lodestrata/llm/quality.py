@@ -74,16 +74,21 @@ class Places:
         return found
 
 
-def _dual_coordinate_descent(rows: list[tuple[np.ndarray, np.ndarray]], y: np.ndarray, c: float, epochs: int = 12, seed: int = 7) -> np.ndarray:
-    """Weights (the last is the bias) of min |w|^2/2 + c sum hinge(y_i w.x_i), one dual variable at a time."""
-    w = np.zeros(PLACES + 1)
-    alpha = np.zeros(len(rows))
-    size = [float(x @ x) + 1.0 for _, x in rows]
+def _dual_coordinate_descent(places: list[np.ndarray], scale: np.ndarray, lengths: np.ndarray, y: np.ndarray, c: float, epochs: int = 12, seed: int = 7) -> np.ndarray:
+    """Weights (the last is the bias) of min |w|^2/2 + c sum hinge(y_i w.x_i), one dual variable at a time.
+
+    Row i has scale[places[i]] / lengths[i] at its places, and 1 for the bias; it is made when needed,
+    so memory goes with the places alone.
+    """
+    w = np.zeros(len(scale) + 1)
+    alpha = np.zeros(len(places))
+    size = [float((scale[p] ** 2).sum()) / n**2 + 1.0 for p, n in zip(places, lengths)]
     order = np.random.default_rng(seed)
     for _ in range(epochs):
         moved = 0.0
-        for i in order.permutation(len(rows)):
-            place, x = rows[i]
+        for i in order.permutation(len(places)):
+            place = places[i]
+            x = scale[place] / lengths[i]
             gradient = y[i] * (w[place] @ x + w[-1]) - 1.0
             new = min(max(alpha[i] - gradient / size[i], 0.0), c)
             step = new - alpha[i]
@@ -143,11 +148,9 @@ def train(places: list[np.ndarray], labels: np.ndarray, c: float = 5.0, folds: i
         for i in chosen:
             (pos if y[i] > 0 else neg)[places[i]] += 1
         ratios = np.log((pos / pos.sum()) / (neg / neg.sum()))
-        rows = []
-        for i in chosen:
-            x = ratios[places[i]]
-            rows.append((places[i], x / np.sqrt((x**2).sum() + SHRINK)))
-        return _dual_coordinate_descent(rows, y[chosen], c), ratios
+        mine = [places[i] for i in chosen]
+        lengths = np.array([np.sqrt((ratios[p] ** 2).sum() + SHRINK) for p in mine])
+        return _dual_coordinate_descent(mine, ratios, lengths, y[chosen], c), ratios
 
     everything = np.arange(len(y))
     held = np.full(len(y), np.nan)
@@ -173,7 +176,7 @@ def held_out(doc_id: Column, modulus: int = 4, remainder: int = 2) -> Column:
 def _place_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     finder = Places()
     for batch in batches:
-        values, offsets = text_buffer(batch.column(0))
+        values, offsets = text_buffer(batch.column(1))
         out = []
         for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist()):
             found = finder.of(values[a:b])
@@ -181,7 +184,7 @@ def _place_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
                 mixed = (found.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(20)
                 found = np.sort(found[np.argpartition(mixed, MAX_PLACES)[:MAX_PLACES]])
             out.append(found.astype(np.int32).tobytes())
-        yield pa.RecordBatch.from_arrays([batch.column(1), pa.array(out, pa.binary())], ["label", "places"])
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(out, pa.binary())], ["doc_id", "label", "places"])
 
 
 def fit_quality(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN) -> Model:
@@ -192,10 +195,18 @@ def fit_quality(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN)
     known = known.groupBy("doc_id").agg(F.min("quality").alias("label"))
     sample = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_train)
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    rows = texts.join(F.broadcast(sample), "doc_id").select("text", "label").mapInArrow(_place_batches, "label int, places binary").toArrow()
-    # rows come in any order; the fit doesn't depend on it
-    pairs = sorted(zip(rows.column(1).to_pylist(), rows.column(0).to_pylist()))
-    return train([np.frombuffer(p, np.int32) for p, _ in pairs], np.array([x for _, x in pairs]))
+    rows = texts.join(F.broadcast(sample), "doc_id").select("doc_id", "text", "label").mapInArrow(_place_batches, "doc_id long, label int, places binary").toArrow()
+    # rows come in any order; the fit goes by id.  Places are read where Arrow has them
+    found: list[tuple[int, int, np.ndarray]] = []
+    places = body = None
+    for ids, labelled, places in zip(*(rows.column(i).chunks for i in range(3))):
+        body = [np.frombuffer(x.as_buffer(), np.int32) if len(x.as_buffer()) else np.zeros(0, np.int32) for x in places]
+        found += zip(ids.to_pylist(), labelled.to_pylist(), body)
+    found.sort(key=lambda r: r[:2])
+    model = train([p for _, _, p in found], np.array([x for _, x, _ in found]))
+    del rows, places, body, found
+    pa.default_memory_pool().release_unused()
+    return model
 
 
 def score_quality(docs: DataFrame, model: Model, name: str = "score") -> DataFrame:

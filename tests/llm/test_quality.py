@@ -32,13 +32,14 @@ def test_places_of_long_texts_are_those_of_the_whole(monkeypatch):
 
 def test_dual_coordinate_descent_reaches_the_optimum():
     rnd = np.random.default_rng(2)
-    x = rnd.normal(size=(40, 5))
-    y = np.where(x[:, 0] + 0.3 * rnd.normal(size=40) > 0, 1.0, -1.0)
-    w = _dual_coordinate_descent([(np.arange(5), r) for r in x], y, 0.5, epochs=400)
-    full = np.append(w[:5], w[-1])
+    on = rnd.random((40, 6)) < 0.5
+    scale, lengths = rnd.normal(size=6), rnd.uniform(0.5, 2, 40)
+    x = on * scale / lengths[:, None]
+    y = np.where(x[:, 0] + 0.5 * x[:, 1] + 0.2 * rnd.normal(size=40) > 0, 1.0, -1.0)
+    w = _dual_coordinate_descent([np.flatnonzero(r) for r in on], scale, lengths, y, 0.5, epochs=400)
     rows = np.hstack([x, np.ones((40, 1))])
     loss = lambda v: v @ v / 2 + 0.5 * np.maximum(0, 1 - y * (rows @ v)).sum()
-    assert all(loss(full) <= loss(full + d) + 1e-3 for d in rnd.normal(size=(300, 6)) * 0.05)
+    assert all(loss(w) <= loss(w + d) + 1e-3 for d in rnd.normal(size=(300, 7)) * 0.05)
 
 
 def test_one_class_or_none():
