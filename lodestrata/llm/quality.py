@@ -7,8 +7,9 @@ by dual coordinate descent, and a sigmoid through out-of-fold margins turns marg
 Only texts go into features; labels, ids, languages and sources don't.
 
 Scale: the fit takes at most MAX_TRAIN labelled documents (those with the smallest hashes of their
-ids, so a sample that does not depend on order), gathered as feature ids under a byte bound.  Scoring
-is one map over whole texts, without a shuffle, with a model of fixed size.
+ids, so a sample that does not depend on order), gathered as all their feature places, packed in two
+bytes a place and at most 32 KB a document (256 MB in all) however long its text.  Scoring is one map
+over whole texts, without a shuffle, with a model of fixed size.
 
 Defined cases: a null text counts as empty; an empty text has the score of the bias alone; a document
 with null id is scored and counts as not held out; labels that are null or not 0 or 1 teach nothing,
@@ -19,7 +20,7 @@ through filter_quality unchanged and are otherwise ignored.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -31,10 +32,8 @@ from .hashing import text_buffer, word_hashes
 
 PLACES = 1 << 18
 SIZES = (2, 3, 4)
-#: Most labelled documents that the fit takes, and most places of one of them (a random choice by
-#: hash is kept of longer texts in training; scoring always uses all).
+#: Most labelled documents that the fit takes, with all places of each.
 MAX_TRAIN = 8_000
-MAX_PLACES = 4_000
 THRESHOLD = 0.7
 _PIECE = 1 << 20
 #: Added to a row's squared length before it is divided by.
@@ -74,7 +73,39 @@ class Places:
         return found
 
 
-def _dual_coordinate_descent(places: list[np.ndarray], scale: np.ndarray, lengths: np.ndarray, y: np.ndarray, c: float, epochs: int = 12, seed: int = 7) -> np.ndarray:
+def _pack_places(found: np.ndarray) -> bytes:
+    """Rising places without loss: how many lie in each 2**16, then their low 16 bits; or a bit for each
+    of all PLACES where that is shorter."""
+    blocks = PLACES >> 16
+    if 2 * (blocks + len(found)) >= PLACES // 8:
+        bits = np.zeros(PLACES, np.uint8)
+        bits[found] = 1
+        return np.packbits(bits).tobytes()
+    return np.concatenate([np.bincount(found >> 16, minlength=blocks), found & 0xFFFF]).astype(np.uint16).tobytes()
+
+
+def _unpack_places(data: bytes | pa.Buffer) -> np.ndarray:
+    packed = np.frombuffer(data, np.uint16)
+    if packed.nbytes == PLACES // 8:
+        return np.flatnonzero(np.unpackbits(packed.view(np.uint8)))
+    blocks = PLACES >> 16
+    return np.repeat(np.arange(blocks) << 16, packed[:blocks]) + packed[blocks:]
+
+
+class _Rows(Sequence):
+    """Chosen rows of others, each made when it is read."""
+
+    def __init__(self, rows: Sequence, chosen: Sequence[int], read: Callable = lambda row: row):
+        self.rows, self.chosen, self.read = rows, chosen, read
+
+    def __len__(self) -> int:
+        return len(self.chosen)
+
+    def __getitem__(self, i):
+        return self.read(self.rows[self.chosen[i]])
+
+
+def _dual_coordinate_descent(places: Sequence[np.ndarray], scale: np.ndarray, lengths: np.ndarray, y: np.ndarray, c: float, epochs: int = 12, seed: int = 7) -> np.ndarray:
     """Weights (the last is the bias) of min |w|^2/2 + c sum hinge(y_i w.x_i), one dual variable at a time.
 
     Row i has scale[places[i]] / lengths[i] at its places, and 1 for the bias; it is made when needed,
@@ -136,7 +167,7 @@ class Model:
         return float(1 / (1 + np.exp(-np.clip(self.a * margin + self.b, -40, 40))))
 
 
-def train(places: list[np.ndarray], labels: np.ndarray, c: float = 5.0, folds: int = 3) -> Model:
+def train(places: Sequence[np.ndarray], labels: np.ndarray, c: float = 5.0, folds: int = 3) -> Model:
     """The model of feature places and labels 0 or 1."""
     y = np.where(labels > 0, 1.0, -1.0)
     if not len(y) or abs(y.sum()) == len(y):
@@ -148,7 +179,7 @@ def train(places: list[np.ndarray], labels: np.ndarray, c: float = 5.0, folds: i
         for i in chosen:
             (pos if y[i] > 0 else neg)[places[i]] += 1
         ratios = np.log((pos / pos.sum()) / (neg / neg.sum()))
-        mine = [places[i] for i in chosen]
+        mine = _Rows(places, chosen)
         lengths = np.array([np.sqrt((ratios[p] ** 2).sum() + SHRINK) for p in mine])
         return _dual_coordinate_descent(mine, ratios, lengths, y[chosen], c), ratios
 
@@ -177,13 +208,7 @@ def _place_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
     finder = Places()
     for batch in batches:
         values, offsets = text_buffer(batch.column(1))
-        out = []
-        for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist()):
-            found = finder.of(values[a:b])
-            if len(found) > MAX_PLACES:
-                mixed = (found.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(20)
-                found = np.sort(found[np.argpartition(mixed, MAX_PLACES)[:MAX_PLACES]])
-            out.append(found.astype(np.int32).tobytes())
+        out = [_pack_places(finder.of(values[a:b])) for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist())]
         yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(out, pa.binary())], ["doc_id", "label", "places"])
 
 
@@ -197,14 +222,15 @@ def fit_quality(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN)
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     rows = texts.join(F.broadcast(sample), "doc_id").select("doc_id", "text", "label").mapInArrow(_place_batches, "doc_id long, label int, places binary").toArrow()
     # rows come in any order; the fit goes by id.  Places are read where Arrow has them
-    found: list[tuple[int, int, np.ndarray]] = []
+    found: list[tuple[int, int, pa.Buffer]] = []
     places = body = None
     for ids, labelled, places in zip(*(rows.column(i).chunks for i in range(3))):
-        body = [np.frombuffer(x.as_buffer(), np.int32) if len(x.as_buffer()) else np.zeros(0, np.int32) for x in places]
+        body = [x.as_buffer() for x in places]
         found += zip(ids.to_pylist(), labelled.to_pylist(), body)
     found.sort(key=lambda r: r[:2])
-    model = train([p for _, _, p in found], np.array([x for _, x, _ in found]))
-    del rows, places, body, found
+    packed = [p for _, _, p in found]
+    model = train(_Rows(packed, range(len(packed)), _unpack_places), np.array([x for _, x, _ in found]))
+    del rows, places, body, found, packed
     pa.default_memory_pool().release_unused()
     return model
 

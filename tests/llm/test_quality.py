@@ -30,6 +30,18 @@ def test_places_of_long_texts_are_those_of_the_whole(monkeypatch):
     assert len(Places().of(body[:0])) == 0 and len(Places().of(body[:1])) == 0
 
 
+def test_training_takes_all_places_of_long_texts(spark, monkeypatch):
+    rnd = np.random.default_rng(4)
+    ids = [i for i in range(100) if zlib.crc32(str(i).encode()) % 4 != 2]
+    texts = {i: "".join(map(chr, rnd.integers(33, 127, n))) for i, n in zip(ids, (0, 1, 300, 3_000, 9_000, 40_000))}
+    want = {i: Places().of(np.frombuffer(t.encode(), np.uint8)).tolist() for i, t in texts.items()}
+    assert max(map(len, want.values())) > 1 << 15 and sum(len(w) > 4_000 for w in want.values()) == 3
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in texts], "doc_id long, quality int")
+    monkeypatch.setattr(quality, "train", lambda places, _: [p.tolist() for p in places])
+    assert fit_quality(docs, labels) == [want[i] for i in sorted(want)]
+
+
 def test_dual_coordinate_descent_reaches_the_optimum():
     rnd = np.random.default_rng(2)
     on = rnd.random((40, 6)) < 0.5
