@@ -215,11 +215,11 @@ def compact_merge(spark, sf_dir):
 
 def _upper_and_lower(spark, sf_dir):
     log = _tiered(spark, sf_dir)
-    return log.filter("tier < 4").drop("tier"), _with_files(log.filter("tier = 4").drop("tier").filter(F.col("key") < TO))
+    return log.filter("tier < 4").drop("tier"), _with_files(log.filter("tier = 4").drop("tier"))
 
 
 def tombstone_gc(spark, sf_dir):
-    """A merge of all but the deepest tier, whose files hold just part of the keys."""
+    """A merge of all but the deepest tier, over all files of that tier."""
     upper, lower = _upper_and_lower(spark, sf_dir)
     return compaction.compact(upper, pruning.file_table(lower, "file", "level")).select("key", "seq", *_long("op"))
 

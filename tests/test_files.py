@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from lodestrata.operators import compaction, policy, pruning
 from lodestrata.operators import versions as V
+from lodestrata.plans import queries as Q
 
 LOG = "key string, seq bigint, op tinyint, value string"
 
@@ -64,6 +65,17 @@ def test_compaction_preserves_live_rows(spark):
     assert again.exceptAll(once).isEmpty() and once.exceptAll(again).isEmpty()
 
 
+def test_the_whole_deepest_tier_counts(spark, tmp_path):
+    # of 100 events the first 30 are the deepest tier: 50 is only there, 60 has an older version there, 90 none
+    users = {1: (50, "view"), 2: (60, "view"), 50: (60, "error"), 51: (90, "error")}
+    rows = [(seq - 1, *users.get(seq, (5, "view")), float(seq)) for seq in range(1, 101)]
+    spark.createDataFrame(rows, "event_id long, user_id long, event_type string, value double").write.parquet(f"{tmp_path}/events.parquet")
+    kept = {(r["key"], r["seq"], r["op"]) for r in Q.tombstone_gc(spark, str(tmp_path)).collect()}
+    assert kept == {("0000000005", 100, 1), ("0000000060", 50, 0)}
+    live = {(r["key"], r["seq"]) for r in Q.compaction_preserves_live(spark, str(tmp_path)).collect()}
+    assert live == {("0000000005", 100), ("0000000050", 1)}
+
+
 def test_bloom(spark):
     keys = spark.createDataFrame([(1, k) for k in ("hello", "world", "lsm", "engine")], "g int, key string")
     filters = pruning.bloom_build(keys, "g")
