@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .asof import last_step
+
 LEVELS = 7
 #: Files of level 0, and bytes of level 1 (ten times as many in each level below), that are full.
 LEVEL0_FILES = 4
@@ -38,9 +40,13 @@ def closure(files: DataFrame, seed) -> DataFrame:
 
 
 def overlapping_files(inputs: DataFrame, others: DataFrame) -> DataFrame:
-    """The files of `others` whose range meets that of some input."""
-    span = inputs.select(F.col("lo").alias("_lo"), F.col("hi").alias("_hi"))
-    return others.join(F.broadcast(span), (F.col("lo") <= F.col("_hi")) & (F.col("_lo") <= F.col("hi")), "left_semi")
+    """The files of `others` whose range meets that of some input.
+
+    Of the inputs that begin at or below a file's end, the one that reaches farthest decides.
+    """
+    reach = F.max("hi").over(Window.orderBy("lo").rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    steps = inputs.groupBy("lo").agg(F.max("hi").alias("hi")).select(F.col("lo").alias("at"), F.lit(False).alias("after"), reach.alias("value"))
+    return last_step(others, F.col("hi"), steps, "_reach").filter("_reach >= lo").drop("_reach")
 
 
 def next_by_pointer(files: DataFrame, pointer: Column) -> DataFrame:

@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .asof import last_step
+
 
 def file_table(log: DataFrame, *by: str) -> DataFrame:
     """lo, hi, seq_lo, seq_hi, n_rows, n_bytes of each file that the columns `by` name."""
@@ -34,17 +36,13 @@ def overlapping(files: DataFrame, lo, hi) -> DataFrame:
 
 
 def find_file(files: DataFrame, keys: DataFrame) -> DataFrame:
-    """For each key the file of a disjoint level that could hold it: the first with hi >= key.
-
-    Keys and files are merged by one sort; the next file's bounds come from a window.  A range of
-    keys is one partition of it, cut at the files' bounds by the leading characters.
-    """
-    files = files.select("file", "lo", "hi")
-    nxt = Window.orderBy("hi")
-    starts = files.withColumn("above", F.lag("hi").over(nxt))  # keys in (above, hi] belong here
-    return keys.join(F.broadcast(starts), (F.col("key") <= F.col("hi")) & (F.col("above").isNull() | (F.col("key") > F.col("above"))), "left").select(
-        "key", "file", (F.col("file").isNotNull() & (F.col("lo") <= F.col("key"))).alias("in_range")
-    )
+    """For each key the file of a disjoint level that could hold it: the first with hi >= key."""
+    by_hi = Window.orderBy("hi")  # a row a file
+    begins = files.select(F.lag("hi").over(by_hi).alias("at"), F.lit(True).alias("after"), F.struct("file", "lo").alias("value"))
+    ends = files.groupBy().agg(F.max("hi").alias("at")).filter("at is not null").select("at", F.lit(True).alias("after"), F.lit(None).cast(begins.schema["value"].dataType).alias("value"))
+    found = last_step(keys.select("key"), F.col("key"), begins.union(ends), "_file")
+    file = F.col("_file.file")
+    return found.select("key", file.alias("file"), (file.isNotNull() & F.coalesce(F.col("_file.lo") <= F.col("key"), F.lit(False))).alias("in_range"))
 
 
 def approximate_offset(files: DataFrame, key) -> DataFrame:

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from ..functions.keys import prefix_filter
 from ..model import DELETE, PUT, payload_columns
+from ..sources.commits import written
 
 
 def visible(log: DataFrame, snapshot: int | None = None) -> DataFrame:
@@ -24,8 +25,8 @@ def visible(log: DataFrame, snapshot: int | None = None) -> DataFrame:
 def head(log: DataFrame, snapshot: int | None = None) -> DataFrame:
     """The newest visible version of each key, deletes included.
 
-    max_by is a partial and a final hash aggregation: a key with a third of all rows reaches the
-    final one as one row a task.
+    max_by combines before the shuffle, so a key with a third of all rows reaches the final
+    aggregation as one row a task.  Payloads of variable width make both aggregations sort by key.
     """
     rest = ["op", *payload_columns(log)]
     newest = visible(log, snapshot).groupBy("key").agg(F.max("seq").alias("seq"), F.max_by(F.struct(*rest), "seq").alias("_row"))
@@ -55,22 +56,34 @@ def multi_get(log: DataFrame, keys: DataFrame, snapshot: int | None = None) -> D
     return wanted.join(hits.withColumn("found", F.lit(True)), "key", "left").withColumn("found", F.coalesce("found", F.lit(False)))
 
 
-def positioned(rows: DataFrame, descending: bool = False, name: str = "pos", by: Callable[[Column], Column] | None = None) -> DataFrame:
-    """Rows with their place in key order, from 1.
+#: monotonically_increasing_id() is the partition's number above this many bits of the row's.
+_ROW_BITS = 33
+
+
+def numbered(rows: DataFrame, name: str, order: list[Column] | None = None, base: int = 0) -> DataFrame:
+    """Rows with consecutive numbers from base + 1, in the given order; without one as the rows come.
 
-    One task would hold a window without partitions.  So ranges of keys are ranked apart, after the
-    counts of the ranges before them, which are one row a range.
+    Ranges of the order are sorted apart and written once, marked by range and place; the counts of
+    the ranges before one, a row a range, give its offset.  Counts and numbers thus belong to the same
+    ranges whatever is recomputed, and no task holds more than a range.  Rows equal in the order are
+    numbered in any, but fixed, order.
     """
-    spark = rows.sparkSession
-    key = (by or (lambda key: key))(F.col("key"))
-    order = key.desc() if descending else key.asc()
-    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    ranges = rows.repartitionByRange(n, order).withColumn("_range", F.spark_partition_id())
-    inside = ranges.withColumn("_at", F.row_number().over(Window.partitionBy("_range").orderBy(order)))
-    sizes = inside.groupBy("_range").agg(F.count("*").alias("_n"))
-    before = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    if order:
+        rows = rows.repartitionByRange(*order).sortWithinPartitions(*order)
+    marked = written(rows.withColumn("_mark", F.monotonically_increasing_id()), "ranges")
+    part = F.shiftright("_mark", _ROW_BITS)
+    sizes = marked.groupBy(part.alias("_range")).agg(F.count("*").alias("_n"))
+    before = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)  # a row a range
     offsets = sizes.select("_range", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_offset"))
-    return inside.join(F.broadcast(offsets), "_range").withColumn(name, (F.col("_at") + F.col("_offset")).cast("long")).drop("_range", "_at", "_offset")
+    place = F.col("_mark").bitwiseAND(F.lit((1 << _ROW_BITS) - 1)) + F.col("_offset") + 1 + base
+    joined = marked.join(F.broadcast(offsets), part == F.col("_range"))  # bounded by the number of partitions
+    return joined.withColumn(name, place.cast("long")).drop("_range", "_mark", "_offset")
+
+
+def positioned(rows: DataFrame, descending: bool = False, name: str = "pos", by: Callable[[Column], Column] | None = None) -> DataFrame:
+    """Rows with their place in key order, from 1."""
+    key = (by or (lambda key: key))(F.col("key"))
+    return numbered(rows, name, [key.desc() if descending else key.asc()])
 
 
 def scan(log: DataFrame, lo=None, hi=None, snapshot: int | None = None, reverse: bool = False, by: Callable[[Column], Column] | None = None) -> DataFrame:
@@ -94,14 +107,15 @@ def seek(log: DataFrame, target, snapshot: int | None = None) -> DataFrame:
     return scan(log, lo=target, snapshot=snapshot).limit(1)
 
 
-def page(log: DataFrame, n: int, after=None, before=None, snapshot: int | None = None) -> DataFrame:
+def page(log: DataFrame, n: int, after=None, before=None, snapshot: int | None = None, by: Callable[[Column], Column] | None = None) -> DataFrame:
     """The next n live rows after a key in order, or the n rows before one in reverse order."""
-    rows = live(log, snapshot)
+    by = by or (lambda key: key)
+    rows, key = live(log, snapshot), by(F.col("key"))
     if before is not None:
-        return rows.filter(F.col("key") < before).orderBy(F.col("key").desc()).limit(n)
+        return rows.filter(key < by(F.lit(before))).orderBy(key.desc()).limit(n)
     if after is not None:
-        rows = rows.filter(F.col("key") > after)
-    return rows.orderBy("key").limit(n)
+        rows = rows.filter(key > by(F.lit(after)))
+    return rows.orderBy(key).limit(n)
 
 
 def prefix_scan(log: DataFrame, prefix, snapshot: int | None = None) -> DataFrame:
@@ -139,12 +153,6 @@ def all_puts(log: DataFrame, snapshot: int | None = None) -> DataFrame:
     return visible(log, snapshot).filter(F.col("op") == PUT)
 
 
-def assign_sequence(rows: DataFrame, order: list[Column | str], base: int = 0) -> DataFrame:
-    """Consecutive seq from base + 1 in the given order, ranked range by range."""
-    n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    cols = [F.col(c) if isinstance(c, str) else c for c in order]
-    ranges = rows.repartitionByRange(n, *cols).withColumn("_range", F.spark_partition_id())
-    inside = ranges.withColumn("_at", F.row_number().over(Window.partitionBy("_range").orderBy(*cols)))
-    sizes = inside.groupBy("_range").agg(F.count("*").alias("_n"))
-    offsets = sizes.select("_range", F.coalesce(F.sum("_n").over(Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_offset"))
-    return inside.join(F.broadcast(offsets), "_range").withColumn("seq", (F.col("_at") + F.col("_offset") + base).cast("long")).drop("_range", "_at", "_offset")
+def assign_sequence(rows: DataFrame, order: list[Column | str] | None = None, base: int = 0) -> DataFrame:
+    """Consecutive seq from base + 1 in the given order, or as the rows come: a later row is newer."""
+    return numbered(rows, "seq", [F.col(c) if isinstance(c, str) else c for c in order or []], base)

@@ -21,9 +21,9 @@ _FILED = f"""{_LOG}, filed AS (SELECT *, CAST(key AS BIGINT) // 20 * 10 + seq %
 _POS = "row_number() OVER (ORDER BY key) AS pos"
 _RPOS = "row_number() OVER (ORDER BY key DESC) AS pos"
 
-#: A merge of the tiers 0 to 3 over the deepest one's files of keys below the bound.
+#: A merge of the tiers 0 to 3 over all files of the deepest one.
 _GC = f"""{_TIERED}, upper AS (SELECT * FROM tiered WHERE tier < 4), {_head('upper', 'merged')},
-  low AS (SELECT *, CAST(key AS BIGINT) // 20 * 10 + seq % 3 AS file FROM tiered WHERE tier = 4 AND key < '{_TO}'),
+  low AS (SELECT *, CAST(key AS BIGINT) // 20 * 10 + seq % 3 AS file FROM tiered WHERE tier = 4),
   ranges AS (SELECT file, min(key) AS lo, max(key) AS hi, min(seq) AS seq_lo FROM low GROUP BY file),
   kept AS (SELECT * FROM merged m WHERE op = 1 OR EXISTS (SELECT 1 FROM ranges WHERE m.key BETWEEN lo AND hi AND m.seq > seq_lo))"""
 
@@ -64,7 +64,7 @@ ORACLES = {
     "round_robin_pick": f"WITH {_FILED} SELECT file, lo, hi FROM files WHERE level = 1 ORDER BY hi > '{_TO}' DESC, lo LIMIT 1",
     "compact_merge": f"WITH {_TIERED}, b AS (SELECT * FROM tiered WHERE tier IN (2, 3)), {_head('b', 'h')} SELECT key, seq, CAST(op AS BIGINT) AS op, event_type FROM h",
     "tombstone_gc": f"WITH {_GC} SELECT key, seq, CAST(op AS BIGINT) AS op FROM kept",
-    "compaction_preserves_live": f"WITH {_LOG}, b AS (SELECT * FROM ev WHERE key < '{_TO}' OR seq / (SELECT CAST(max(seq) AS DOUBLE) FROM ev) > 0.3), {_head('b', 'h')} SELECT key, seq, event_type, value FROM h WHERE op = 1",
+    "compaction_preserves_live": f"WITH {_LIVE} SELECT * FROM live",
     "file_minmax_prune": f"WITH {_FILED} SELECT file, level, lo, hi FROM files WHERE '{_KEY}' BETWEEN lo AND hi",
     "find_file": f"""WITH {_LOG}, f AS (SELECT CAST(key AS BIGINT) // 20 AS file, min(key) AS lo, max(key) AS hi FROM ev WHERE seq % 3 = 1 GROUP BY 1),
       k AS (SELECT DISTINCT key FROM ev) SELECT key, file, file IS NOT NULL AND (SELECT lo FROM f WHERE f.file = x.file) <= key AS in_range

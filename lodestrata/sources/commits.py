@@ -4,22 +4,42 @@ from __future__ import annotations
 
 import json
 import tempfile
+import time
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
-def scratch(spark: SparkSession, name: str) -> str:
-    """A fresh path in the shared folder of spark.checkpoint.dir; a local one only where that is unset."""
+_local: list[str] = []
+
+
+def scratch_root(spark: SparkSession) -> str:
+    """The shared folder of spark.checkpoint.dir; a local one only on a local master without it."""
     root = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        root = "file://" + tempfile.mkdtemp(prefix="lodestrata-")
-        spark.conf.set("spark.checkpoint.dir", root)
-    files = Files(spark, f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}")
+    if root:
+        return root.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    if not _local:
+        _local.append("file://" + tempfile.mkdtemp(prefix="lodestrata-"))
+    return _local[0]
+
+
+def scratch(spark: SparkSession, name: str) -> str:
+    """A fresh path in the shared folder, deleted when the driver's JVM ends."""
+    files = Files(spark, f"{scratch_root(spark)}/{name}-{uuid.uuid4().hex}")
     files.fs.deleteOnExit(files.at(""))
     return files.root
 
 
+def written(rows: DataFrame, name: str) -> DataFrame:
+    """The same rows, written to the shared folder once and read back: every later pass sees the same
+    rows in the same partitions, and a lost executor costs none of what came before."""
+    path = scratch(rows.sparkSession, name)
+    rows.write.parquet(path)
+    return rows.sparkSession.read.schema(rows.schema).parquet(path)
+
+
 class Files:
     """Small files under a root."""
 
@@ -70,6 +90,14 @@ class Files:
     def delete(self, name: str = "") -> None:
         self.fs.delete(self.at(name), True)
 
+    def age(self, name: str) -> float:
+        """Seconds since a file or folder was last changed."""
+        return time.time() - self.fs.getFileStatus(self.at(name)).getModificationTime() / 1000
+
+    def size(self, name: str = "") -> int:
+        """Bytes of a file, or of all files below a folder."""
+        return self.fs.getContentSummary(self.at(name)).getLength()
+
 
 class CommitLog:
     """Commits 1, 2, ... of JSON objects, and now and then one that holds all before it."""
@@ -91,3 +119,8 @@ class CommitLog:
     def commit(self, version: int, entry: dict) -> bool:
         """Whether this entry became the version; False where another writer's did."""
         return self.files.create(f"{self.FOLDER}/{version:020d}.json", json.dumps(entry, sort_keys=True))
+
+    def forget(self, version: int) -> None:
+        """Delete a commit that no version to be read needs."""
+        self.files.delete(f"{self.FOLDER}/{version:020d}.json")
+        self._known.pop(version, None)

@@ -13,14 +13,14 @@ from ..sources.store import Store
 def stream_ingest(mutations: DataFrame, store: Store, name: str, checkpoint: str, order: list | None = None, maintain: bool = True) -> DataStreamWriter:
     """A writer that commits each micro-batch of (key, op, payload...[, seq]) once.
 
-    A batch that is delivered again after a failure has its id in the manifest and is skipped.  Rows
+    A batch that is delivered again after a failure has its number in the manifest and is skipped.  Rows
     that carry seq may arrive late or out of order; seq decides what is newest.  Compaction, which is
     the back pressure, runs between batches.
     """
 
     def commit(batch: DataFrame, batch_id: int) -> None:
         if not batch.isEmpty():
-            store.write(batch, order, f"{name}:{batch_id}")
+            store.write(batch, order, stream=(name, batch_id))
         if maintain:
             store.maintain()
 
