@@ -16,11 +16,16 @@ from ..model import KEY_WIDTH, PUT, events_log, key_of, orders_log
 from ..operators import compaction, policy, pruning
 from ..operators import versions as V
 from ..sources.commits import scratch
-from ..sources.store import Options, Store
-from ..streaming.ingest import stream_ingest
+from ..sources.store import Busy, Corruption, InvalidArgument, Options, Store
+from ..streaming.ingest import latest_by_key, stream_ingest
 
-#: Keys, and a snapshot, that the given tables have at every scale.
-KEY, FROM, TO, SNAPSHOT = "0000000007", "0000000003", "0000000012", 600
+#: Keys that the given tables have at every scale.
+KEY, FROM, TO = "0000000007", "0000000003", "0000000012"
+
+
+def _at_share(log: DataFrame, tenths: int) -> int:
+    """The sequence number that so many tenths of the log lie at or below."""
+    return (log.agg(F.max("seq")).first()[0] or 0) * tenths // 10
 
 
 def _tiered(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -70,15 +75,15 @@ def multi_get(spark, sf_dir):
 def as_of_get(spark, sf_dir):
     """Every key at three snapshots: the newest version that each sees, deletes included."""
     log = events_log(spark, sf_dir)
-    snapshots = F.explode(F.array(*[F.lit(s).cast("long") for s in (200, 600, 1000)])).alias("snapshot")
+    snapshots = F.explode(F.array(*[F.lit(_at_share(log, n)).cast("long") for n in (2, 6, 10)])).alias("snapshot")
     asked = log.select("*", snapshots).filter(F.col("seq") <= F.col("snapshot"))
     return asked.groupBy("key", "snapshot").agg(F.max("seq").alias("seq"), F.max_by("op", "seq").cast("long").alias("op"))
 
 
 def memtable_get_at_seq(spark, sf_dir):
     """Reads at a snapshot among the versions that memory would hold."""
-    buffered = events_log(spark, sf_dir).filter(F.col("seq") > 100)
-    return V.live(buffered, SNAPSHOT)
+    log = events_log(spark, sf_dir)
+    return V.live(log.filter(F.col("seq") > _at_share(log, 1)), _at_share(log, 6))
 
 
 def tiered_get(spark, sf_dir):
@@ -120,7 +125,8 @@ def keyset_prev(spark, sf_dir):
 
 
 def snapshot_scan(spark, sf_dir):
-    return V.positioned(V.live(events_log(spark, sf_dir), SNAPSHOT))
+    log = events_log(spark, sf_dir)
+    return V.positioned(V.live(log, _at_share(log, 6)))
 
 
 def scan_count(spark, sf_dir):
@@ -197,10 +203,9 @@ def l0_closure(spark, sf_dir):
 
 
 def overlap_inputs(spark, sf_dir):
-    """Files of level 1 that meet the first two of level 0."""
+    """Files of level 1 that meet some file of level 0."""
     files = _files(spark, sf_dir)
-    inputs = files.filter("level = 0").orderBy("lo", "file").limit(2)
-    return policy.overlapping_files(inputs, files.filter("level = 1")).select("file", "lo", "hi")
+    return policy.overlapping_files(files.filter("level = 0"), files.filter("level = 1")).select("file", "lo", "hi")
 
 
 def round_robin_pick(spark, sf_dir):
@@ -301,8 +306,15 @@ def _event_batches(spark, sf_dir, n: int = 3):
     return [log.filter(F.expr(f"pmod(seq, {n}) = {i}")) for i in range(n)]
 
 
-def _store(spark, name: str) -> Store:
-    return Store.open(spark, scratch(spark, name), Options(payload="event_type string, value double", write_buffer_size=1, level0_compaction_trigger=2, bits_per_key=10))
+def _store(spark, name: str, **options) -> Store:
+    defaults = {"payload": "event_type string, value double", "write_buffer_size": 1, "level0_compaction_trigger": 2}
+    return Store.open(spark, scratch(spark, name), Options(**(defaults | options)))
+
+
+def _nations(spark, sf_dir) -> list[tuple[str, str]]:
+    """A dimension of fixed size, for what is done row by row."""
+    rows = spark.read.parquet(f"{sf_dir}/nation.parquet").select(key_of("n_nationkey").alias("key"), "n_name")
+    return [tuple(r) for r in rows.orderBy("key").collect()]
 
 
 def store_flushed(spark, sf_dir):
@@ -342,9 +354,10 @@ def store_snapshot(spark, sf_dir):
     """A snapshot's rows after more was written and compacted."""
     store = _store(spark, "snapshot")
     log = events_log(spark, sf_dir)
-    store.write(log.filter(F.col("seq") <= SNAPSHOT))
+    at = _at_share(log, 6)
+    store.write(log.filter(F.col("seq") <= at))
     snapshot = store.snapshot()
-    store.write(log.filter(F.col("seq") > SNAPSHOT))
+    store.write(log.filter(F.col("seq") > at))
     store.compact()
     return store.live(snapshot)
 
@@ -361,6 +374,173 @@ def stream_live(spark, sf_dir):
     return store.live()
 
 
+def store_ordered_write(spark, sf_dir):
+    """Events without numbers of their own, written in the order of their ids."""
+    store = _store(spark, "ordered")
+    store.write(events_log(spark, sf_dir).withColumnRenamed("seq", "at"), order=["at"])
+    return store.live()
+
+
+def store_destroyed(spark, sf_dir):
+    """A store that was destroyed, and made again by another third of the events."""
+    first, second, _ = _event_batches(spark, sf_dir)
+    store = _store(spark, "destroyed")
+    store.write(first)
+    Store.destroy(spark, store.path)
+    again = Store.open(spark, store.path, store.options)
+    again.write(second)
+    return again.live()
+
+
+def store_checkpointed(spark, sf_dir):
+    """A store whose manifest is checkpointed and cut, whose unused files are gone, opened again."""
+    store = _store(spark, "checkpointed", checkpoint_every=2)
+    for batch in _event_batches(spark, sf_dir, 4):
+        store.write(batch)
+        store.flush()
+    store.compact()
+    store.vacuum()
+    return Store.open(spark, store.path, Options(create_if_missing=False)).live()
+
+
+def store_pressure(spark, sf_dir):
+    """What writers are told after each of four flushes; the last write has had to compact."""
+    store = _store(spark, "pressure", level0_slowdown_trigger=2, level0_stop_trigger=3)
+    said = []
+    for i, batch in enumerate(_event_batches(spark, sf_dir, 4)):
+        store.write(batch)
+        store.flush()
+        said.append((i, store.pressure()))
+    return spark.createDataFrame(said, "batch bigint, pressure string")
+
+
+def store_puts(spark, sf_dir):
+    """Single puts and deletes under a small write buffer, some of them synced at once."""
+    with _store(spark, "puts", payload="name string", write_buffer_size=1_000) as store:
+        for i, (key, name) in enumerate(_nations(spark, sf_dir)):
+            store.put(key, name=name, sync=i % 10 == 9)
+            if i % 5 == 0:
+                store.delete(key)
+    return Store.open(spark, store.path, store.options).live().select("key", "name")
+
+
+def store_cursor(spark, sf_dir):
+    """Steps of a cursor: to the end, then back to the start."""
+    store = _store(spark, "cursor", payload="name string")
+    for key, name in _nations(spark, sf_dir):
+        store.put(key, name=name)
+    cursor, seen = store.cursor(page=4), []
+    cursor.seek_to_first()
+    while cursor.valid():
+        seen.append((len(seen), cursor.key(), cursor.value()["name"]))
+        cursor.next()
+    cursor.seek_to_last()
+    while cursor.valid():
+        seen.append((len(seen), cursor.key(), cursor.value()["name"]))
+        cursor.prev()
+    return spark.createDataFrame(seen, "step bigint, key string, name string")
+
+
+def store_trivial_move(spark, sf_dir):
+    """A run that overlaps nothing changes its level and stays the same file."""
+    store = _store(spark, "moved", level0_compaction_trigger=1)
+    store.write(events_log(spark, sf_dir))
+    store.flush()
+    before = [r.path for r in store.state().level(0)]
+    store.compact_once()
+    moved = store.state().level(1)
+    return spark.createDataFrame([(1, [r.path for r in moved] == before, sum(r.rows for r in moved))], "level bigint, same_files boolean, n_rows bigint")
+
+
+def store_split(spark, sf_dir):
+    """In how many files each key lies after a compaction into files of bounded size: one."""
+    store = _store(spark, "split", max_file_size=2_000)
+    for batch in _event_batches(spark, sf_dir):
+        store.write(batch)
+    store.settle(store.snapshot().seq)
+    store.compact()
+    rows = store.versions().select("key", F.col("_metadata.file_path").alias("file"))
+    several = len(store.state().level(6)) > 1
+    return rows.groupBy("key").agg(F.countDistinct("file").alias("n_files")).withColumn("several", F.lit(several))
+
+
+def store_vacuumed(spark, sf_dir):
+    """Folders of data before and after a vacuum that keeps what the last version names."""
+    store = _store(spark, "vacuumed")
+    for batch in _event_batches(spark, sf_dir):
+        store.write(batch)
+    store.compact()
+    before = len(store.files.names("data"))
+    store.vacuum()
+    left = store.live().agg(F.count("*").alias("n_live"))
+    return left.select(F.lit(before).cast("long").alias("n_before"), F.lit(len(store.files.names("data"))).cast("long").alias("n_after"), "n_live")
+
+
+def store_log_damage(spark, sf_dir):
+    """What is left of three batches in the log after one was damaged and a recovery dropped it."""
+    store = _store(spark, "damaged")
+    for batch in _event_batches(spark, sf_dir):
+        store.write(batch)
+    hurt = min(store.state().level(-1), key=lambda r: (r.seq_lo, r.number)).folder
+    for r in store.state().level(-1):
+        if r.folder == hurt:
+            store.files.overwrite(r.path, b"PAR1 no longer")
+    store.repair_log("drop")
+    return store.live()
+
+
+def store_compressions(spark, sf_dir):
+    """The same rows by compressed and by plain files, pages verified on the read."""
+    found = []
+    for codec in ("zstd", "none"):
+        store = _store(spark, codec, compression=codec, verify_checksums=True)
+        store.write(events_log(spark, sf_dir))
+        store.verify()
+        found.append(store.live().withColumn("codec", F.lit(codec)))
+    return found[0].unionByName(found[1])
+
+
+def store_custom_order(spark, sf_dir):
+    """A scan of a store that orders its keys from their end."""
+    store = _store(spark, "backwards", key_order="reversed text")
+    store.write(events_log(spark, sf_dir))
+    again = Store.open(spark, store.path, store.options)
+    return V.positioned(again.scan("0000000003", "0000000007"), by=F.reverse)
+
+
+def status_texts(spark, sf_dir):
+    """How the failures of a store are written."""
+    return spark.createDataFrame([(type(e).__name__, str(e)) for e in (InvalidArgument("a"), Corruption("b"), Busy("c"))], "kind string, text string")
+
+
+def key_bounds(spark, sf_dir):
+    """Separators, successors and prefix bounds of neighbouring names: short, and in between."""
+    names = sorted(n.encode() for _, n in _nations(spark, sf_dir))
+    rows = []
+    for a, b in zip(names, names[1:]):
+        s, t, u = K.shortest_separator(a, b), K.short_successor(a), K.prefix_upper_bound(a)
+        rows.append((a.decode(), a <= s < b and len(s) <= len(a), t >= a and len(t) <= len(a), u > a + b"\xff" and u[:-1] == a[:-1]))
+    return spark.createDataFrame(rows, "name string, separator_ok boolean, successor_ok boolean, bound_ok boolean")
+
+
+def key_hashes(spark, sf_dir):
+    """CRC-32C, as it is and masked, and Murmur3 of the keys."""
+    keys = events_log(spark, sf_dir).select("key").distinct()
+    data = F.encode("key", "UTF-8")
+    return keys.select("key", K.crc32c_column(data).alias("crc"), K.murmur3(data, 7).alias("murmur")).withColumn("masked", K.mask_crc_column(F.col("crc")))
+
+
+def stream_latest(spark, sf_dir):
+    """The newest version of each key of a stream, without a store; each batch's rows replace the last's."""
+    out = scratch(spark, "stream-latest")
+    events = spark.readStream.schema("event_id bigint, user_id bigint, event_type string").parquet(f"{sf_dir}/event[s].parquet")
+    put = F.col("event_type") != "error"
+    mutations = events.select(F.lpad(F.col("user_id").cast("string"), KEY_WIDTH, "0").alias("key"), (F.col("event_id") + 1).alias("seq"), put.cast("tinyint").alias("op"), F.when(put, F.col("event_type")).alias("event_type"))
+    writer = latest_by_key(mutations).writeStream.outputMode("complete").option("checkpointLocation", scratch(spark, "stream-checkpoint"))
+    writer.foreachBatch(lambda batch, n: batch.write.mode("overwrite").parquet(out)).trigger(availableNow=True).start().awaitTermination()
+    return spark.read.parquet(out).select("key", "seq", *_long("op"), "event_type")
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -371,5 +551,8 @@ QUERIES = {
         compact_merge, tombstone_gc, compaction_preserves_live, file_minmax_prune, find_file, range_overlap,
         bloom_no_false_negative, bloom_false_positive_rate, approx_offset, internal_key_pack, prefix_compare,
         shared_prefix, varint_lengths, store_flushed, store_compacted, store_recovered, store_snapshot, stream_live,
+        store_ordered_write, store_destroyed, store_checkpointed, store_pressure, store_puts, store_cursor, store_trivial_move,
+        store_split, store_vacuumed, store_log_damage, store_compressions, store_custom_order, status_texts, key_bounds,
+        key_hashes, stream_latest,
     )
 }

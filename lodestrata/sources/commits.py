@@ -87,6 +87,12 @@ class Files:
             raise
         return True
 
+    def overwrite(self, path: str, data: bytes) -> None:
+        """Replace a file, whose whole path is given."""
+        out = self.fs.create(self.jvm.org.apache.hadoop.fs.Path(path), True)
+        out.write(bytearray(data))
+        out.close()
+
     def delete(self, name: str = "") -> None:
         self.fs.delete(self.at(name), True)
 

@@ -91,3 +91,40 @@ def test_find_file(spark):
     keys = spark.createDataFrame([(k,) for k in "abcdefghi"], "key string")
     got = {r["key"]: (r["file"], r["in_range"]) for r in pruning.find_file(files, keys).collect()}
     assert got == {"a": (1, False), "b": (1, True), "c": (1, True), "d": (1, True), "e": (2, False), "f": (2, True), "g": (2, True), "h": (2, True), "i": (None, False)}
+
+
+def _plan(df):
+    return df._jdf.queryExecution().toString()
+
+
+def test_steps_against_brute_force(spark):
+    import random
+
+    from lodestrata.operators.asof import last_step
+    from lodestrata.operators.compaction import coverage
+
+    rnd = random.Random(8)
+    keys = [f"{i:03d}" for i in range(200)]
+    for n in (0, 1, 2, 60):
+        files = []
+        for i in range(n):
+            a, b = sorted(rnd.choices(keys, k=2))
+            files.append((i, a, b, rnd.randrange(1000)))
+        table = spark.createDataFrame(files, "file long, lo string, hi string, seq_lo long")
+        asked = spark.createDataFrame([(k,) for k in keys + keys[:50]], "key string")
+        found = last_step(asked, F.col("key"), coverage(table), "least")
+        assert "NestedLoop" not in _plan(found) and "Cartesian" not in _plan(found)
+        got = sorted((r["key"], -1 if r["least"] is None else r["least"]) for r in found.collect())
+        assert got == sorted((k, min((s for _, lo, hi, s in files if lo <= k <= hi), default=-1)) for k in keys + keys[:50])
+        other = [(i, *sorted(rnd.choices(keys, k=2))) for i in range(40)]
+        others = spark.createDataFrame(other, "file long, lo string, hi string")
+        met = policy.overlapping_files(table, others)
+        assert "NestedLoop" not in _plan(met)
+        assert {r["file"] for r in met.collect()} == {i for i, lo, hi in other if any(a <= hi and lo <= b for _, a, b, _ in files)}
+
+
+def test_compaction_and_file_search_without_nested_loops(spark):
+    log = spark.createDataFrame([(f"k{i % 9}", i, i % 2, "v") for i in range(1, 60)], "key string, seq long, op tinyint, value string")
+    files = pruning.file_table(log.withColumn("file", F.col("seq") % 4), "file")
+    for df in (compaction.compact(log, files), compaction.compact(log, files, settled=30), pruning.find_file(files, log.select("key").distinct())):
+        assert "NestedLoop" not in _plan(df) and df.count() > 0

@@ -52,3 +52,29 @@ def test_binary_prefix(spark):
     for p in (b"a", b"a\xff", b"\xff", b""):
         got = sorted(bytes(r[0]) for r in df.filter(K.prefix_filter(F.col("key"), p)).collect())
         assert got == sorted(k for k in keys if k.startswith(p))
+
+
+def test_hashes_of_columns(spark):
+    import random
+
+    def murmur(d, seed):  # as published
+        m, h = 0xFFFFFFFF, seed
+        for i in range(0, len(d), 4):
+            k = int.from_bytes(d[i : i + 4], "little") * 0xCC9E2D51 & m
+            k = ((k << 15) | (k >> 17)) * 0x1B873593 & m
+            h ^= k
+            if i + 4 <= len(d):
+                h = (((h << 13) | (h >> 19)) & m) * 5 + 0xE6546B64 & m
+        h ^= len(d)
+        h = (h ^ h >> 16) * 0x85EBCA6B & m
+        h = (h ^ h >> 13) * 0xC2B2AE35 & m
+        return h ^ h >> 16
+
+    rnd = random.Random(3)
+    data = [bytearray(rnd.randbytes(n)) for n in [*range(30), 5_000_000]] + [None, bytearray(b"123456789")]
+    df = spark.createDataFrame([(d,) for d in data], "d binary")
+    for r in df.select("d", K.crc32c_column(F.col("d")).alias("c"), K.murmur3(F.col("d"), 99).alias("m")).filter("d is null or length(d) < 99").collect():
+        if r["d"] is None:
+            assert r["c"] is None and r["m"] is None
+        else:
+            assert r["c"] == K.crc32c(bytes(r["d"])) and r["m"] == murmur(bytes(r["d"]), 99)

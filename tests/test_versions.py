@@ -110,3 +110,19 @@ def test_key_filter_reaches_the_scan(spark, rows, tmp_path):
     log = spark.read.parquet(str(tmp_path / "log"))
     plan = V.live(log).filter("key = 'k1'")._jdf.queryExecution().executedPlan().toString()
     assert "EqualTo(key,k1)" in plan
+
+
+def test_positions_and_numbers_of_many_rows(spark, tmp_path):
+    n = 1_000_000
+    wide = spark.range(n, numPartitions=6).select(F.concat(F.lit("k"), F.lpad((F.col("id") * 7919 % n).cast("string"), 8, "0")).alias("key"), (F.col("id") + 1).alias("seq"), F.lit(1).cast("tinyint").alias("op"), F.sha2(F.col("id").cast("string"), 256).alias("value"), (F.col("id") % 1000).alias("day"))
+    wide.write.parquet(str(tmp_path / "in"))
+    rows = spark.read.parquet(str(tmp_path / "in"))
+    for found, name in ((V.positioned(rows), "pos"), (V.assign_sequence(rows.drop("seq"), ["day", "key"], base=10), "seq"), (V.assign_sequence(rows.drop("seq"), base=10), "seq")):
+        base = 10 if name == "seq" else 0
+        assert found.agg(F.count("*"), F.countDistinct(name), F.min(name), F.max(name)).first()[:] == (n, n, base + 1, base + n)
+    found = V.positioned(rows, descending=True)
+    assert found.filter(F.col("pos") != n - F.substring("key", 2, 8).cast("long")).isEmpty()
+    found = V.assign_sequence(rows.drop("seq"), ["day", "key"])
+    found.write.parquet(str(tmp_path / "out"))
+    out = spark.read.parquet(str(tmp_path / "out"))
+    assert out.filter(F.col("day") != F.floor((F.col("seq") - 1) / 1000)).isEmpty()
