@@ -3,12 +3,12 @@
 from __future__ import annotations
 
 import gc
-import tempfile
 import time
-import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+from ..sources.commits import Files, scratch
+
 #: Bytes of ASCII white space: the word separators of every operator here.
 WHITE = b" \t\n\x0b\x0c\r"
 #: Largest Arrow batch handed to Python, so that very long texts cannot pile up in one batch.
@@ -22,22 +22,6 @@ def bounded_batches(spark: SparkSession) -> None:
         spark.conf.set(key, str(BATCH_BYTES))
 
 
-def scratch(spark: SparkSession, name: str) -> str:
-    """A fresh path in the folder of spark.checkpoint.dir, deleted when the driver's JVM ends.
-
-    Only where that setting is absent (tests, local sessions) a local folder is made and set.
-    """
-    root = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        root = "file://" + tempfile.mkdtemp(prefix="lodestrata-")
-        spark.conf.set("spark.checkpoint.dir", root)
-    path = f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
-    jvm = spark.sparkContext._jvm
-    where = jvm.org.apache.hadoop.fs.Path(path)
-    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(where)
-    return path
-
-
 def stored(df: DataFrame, name: str) -> DataFrame:
     """The same rows, written to the shared folder and read back: lineage ends there, and a lost
     executor costs no recomputation of what came before."""
@@ -48,13 +32,16 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return out
 
 
-def drop_stored(*frames: DataFrame) -> None:
-    """Delete what stored() wrote, once nothing reads it any more, and let Spark clean the shuffles
-    of finished steps (it does so when the driver collects its garbage)."""
+def forget(*frames: DataFrame) -> None:
+    """Delete what stored() wrote, once nothing reads it any more."""
     for df in frames:
-        context = df.sparkSession.sparkContext
-        where = context._jvm.org.apache.hadoop.fs.Path(df._stored_at)
-        where.getFileSystem(context._jsc.hadoopConfiguration()).delete(where, True)
+        Files(df.sparkSession, df._stored_at).delete()
+
+
+def drop_stored(*frames: DataFrame) -> None:
+    """forget(), and let Spark clean the shuffles of finished steps (it does so when the driver
+    collects its garbage)."""
+    forget(*frames)
     for _ in range(2):  # what the first round frees may hold what the second does
         gc.collect()
         SparkSession.active().sparkContext._jvm.System.gc()
@@ -69,10 +56,13 @@ def shards(spark: SparkSession) -> int:
     return max(8, int(spark.conf.get("spark.sql.shuffle.partitions")))
 
 
-def only_ids(docs: DataFrame, ids: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    """The rows of docs, all columns, whose id is among the one column of ids; null equals null."""
-    name = "_kept_id"
-    while name in docs.columns:
+def shards_of(spark: SparkSession, rows: int, most: int) -> int:
+    """Partitions such that each has about `most` of the rows, and at least as many as shuffles have."""
+    return max(shards(spark), -(-rows // most))
+
+
+def free_name(name: str, *taken: str) -> str:
+    """A column name that isn't taken."""
+    while name in taken:
         name += "_"
-    wanted = ids.toDF(name).distinct()
-    return docs.join(wanted, docs[id_col].cast("long").eqNullSafe(wanted[name]), "left_semi")
+    return name

@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import stored
+from .common import forget, stored
 
 
 def _large_star(edges: DataFrame) -> DataFrame:
@@ -37,7 +37,8 @@ def connected_components(edges: DataFrame) -> DataFrame:
     edges = edges.select("u", "v").filter("u is not null and v is not null and u <> v")
     state = stored(_small_star(edges), "edges")
     while not _are_stars(state):
-        state = stored(_small_star(_large_star(state)), "stars")
+        before, state = state, stored(_small_star(_large_star(state)), "stars")
+        forget(before)
     roots = state.select(F.col("v").alias("node")).distinct()
     return state.select(F.col("u").alias("node"), F.col("v").alias("component")).union(roots.select("node", F.col("node").alias("component")))
 

@@ -2,33 +2,35 @@
 
 Texts are equal when they are identical after every character of ASCII white space is deleted.
 Each task of the index owns the digests of one hash range.  It probes its cuckoo filter with a
-16-bit fingerprint; a hit is verified against the full digest and length that the bucket stores, a
-miss is inserted, and a filter that overflows is rebuilt at twice the size from the stored keys.
-
-Scale: one scan writes 60 bytes a document; batches are combined before the shuffle, so that a text
-which makes up a third of all rows arrives as one row a batch; a task's memory is its share of the
-distinct digests.  The final join goes by digest with the split of skewed partitions that adaptive
-execution has.
-
-Defined cases: a null text counts as empty; null ids come last in a tie; rows that repeat both id
-and text share one decision, since only the id tells rows apart; an empty table gives no rows; other
-columns are ignored.
+16-bit fingerprint; a hit is verified against the key that the bucket stores, which stands for the
+content: the SHA-256 of the normalised text and its length.  A miss is inserted, and a filter that
+overflows is rebuilt at twice the size from the stored keys.
+
+Scale: one scan by built-in functions writes 70 bytes a document; batches are combined before the
+shuffle, so that a text which makes up a third of all rows arrives as one row a batch; the number of
+shards follows the rows, so a task holds about SHARD_ROWS digests at most.  The final join goes by
+digest with the split of skewed partitions that adaptive execution has.
+
+Defined cases: a null text counts as empty; null ids come last in a tie; of rows that repeat both id
+and text one stays; an empty table gives no rows; other columns are ignored by exact_dedup() and kept
+by keep_one().
 """
 
 from __future__ import annotations
 
-import hashlib
 from array import array
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import WHITE, bounded_batches, documents, shards, stored
+from .common import WHITE, bounded_batches, documents, forget, free_name, shards_of, stored
 
 SLOTS = 4
 MAX_KICKS = 200
+#: Rows of one shard of the index, about.
+SHARD_ROWS = 250_000
 
 
 class CuckooIndex:
@@ -121,34 +123,35 @@ class CuckooIndex:
         return (e for e in self.entries if e[0] is not None)
 
 
-_DIGEST = "doc_id long, digest binary, n_points long"
+def _text(column: str) -> Column:
+    return F.coalesce(F.col(column).cast("string"), F.lit(""))
 
 
-def _digest_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        digests, points = [], []
-        for text in batch.column(1).cast(pa.large_binary()).to_pylist():
-            text = text or b""
-            digests.append(hashlib.sha256(text.translate(None, WHITE)).digest())
-            points.append(len(text.decode("utf-8", "replace")))
-        yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), pa.array(digests, pa.binary()), pa.array(points, pa.int64())], ["doc_id", "digest", "n_points"])
+def content_key(column: str) -> Column:
+    """What stands for a text without its white space: 32 bytes of SHA-256, 8 of its length in bytes."""
+    plain = F.translate(_text(column), WHITE.decode(), "")
+    return F.unhex(F.concat(F.sha2(plain, 256), F.lpad(F.hex(F.octet_length(plain).cast("long")), 16, "0")))
 
 
 def content_digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, digest (SHA-256 of the normalised text), n_points (code points of the original)."""
-    bounded_batches(docs.sparkSession)
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(_digest_batches, _DIGEST)
+    """doc_id, digest (the key of the normalised text), n_points (code points of the original)."""
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), content_key(text_col).alias("digest"), F.char_length(_text(text_col)).cast("long").alias("n_points"))
 
 
-_GROUP = "digest binary, keep_id long, n_points long, group_size long"
-_GROUP_ARROW = pa.schema([("digest", pa.binary()), ("keep_id", pa.int64()), ("n_points", pa.int64()), ("group_size", pa.int64())])
+_GROUP = "digest binary, keep_id long, n_points long, group_size long, keep_row long, n_ties long"
+_GROUP_ARROW = pa.schema([(x.split()[0], pa.binary() if "binary" in x else pa.int64()) for x in _GROUP.split(", ")])
 
 
 def _fold(index: CuckooIndex, batch: pa.RecordBatch) -> None:
-    for key, doc, points, n in zip(*(c.to_pylist() for c in batch.columns)):
-        entry = index.get(key) or index.insert(key, None, -1, 0)
-        if (-points, doc is None, doc or 0) < (-entry[2], entry[1] is None, entry[1] or 0):
-            entry[1], entry[2] = doc, points
+    """Add rows to their groups: the row that stays has the most code points, then the smallest id
+    (null last), then the smallest row number; n_ties rows are like it but for that number."""
+    for key, doc, points, n, row, ties in zip(*(c.to_pylist() for c in batch.columns)):
+        entry = index.get(key) or index.insert(key, None, -1, 0, 0, 0)
+        old, new = (-entry[2], entry[1] is None, entry[1] or 0), (-points, doc is None, doc or 0)
+        if new < old:
+            entry[1], entry[2], entry[4], entry[5] = doc, points, row, ties
+        elif new == old:
+            entry[4], entry[5] = min(entry[4], row), entry[5] + ties
         entry[3] += n
 
 
@@ -173,30 +176,61 @@ def _index_shard(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield from _emit(index)
 
 
-def digest_groups(digests: DataFrame, n_shards: int | None = None) -> DataFrame:
-    """One row a live digest: digest, keep_id, n_points of the row that stays, group_size."""
-    rows = digests.select("digest", F.col("doc_id").alias("keep_id"), "n_points", F.lit(1).cast("long").alias("group_size"))
-    return rows.mapInArrow(_combine_batches, _GROUP).repartition(n_shards or shards(digests.sparkSession), "digest").mapInArrow(_index_shard, _GROUP)
+def digest_groups(digests: DataFrame, n_shards: int) -> DataFrame:
+    """One row a live digest of (digest, doc_id, n_points, row): keep_id, n_points and keep_row of the
+    row that stays, group_size, n_ties."""
+    bounded_batches(digests.sparkSession)
+    one = F.lit(1).cast("long")
+    rows = digests.select("digest", F.col("doc_id").alias("keep_id"), "n_points", one.alias("group_size"), F.col("row").alias("keep_row"), one.alias("n_ties"))
+    return rows.mapInArrow(_combine_batches, _GROUP).repartition(n_shards, "digest").mapInArrow(_index_shard, _GROUP)
+
+
+def _indexed(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame]:
+    """(digests with a number for each row, the groups of more than one row), both stored."""
+    digests = stored(content_digests(docs, id_col, text_col).withColumn("row", F.monotonically_increasing_id()), "digests")
+    n_shards = shards_of(docs.sparkSession, digests.count(), SHARD_ROWS)
+    return digests, stored(digest_groups(digests, n_shards).filter("group_size > 1"), "copies")
 
 
 def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """A row a document: doc_id, keep_id, group_size, kept, text_sha256.
 
-    Of equal texts the one with the most code points stays, then the smallest id.
+    Of equal texts the one with the most code points stays, then the smallest id; of rows that agree
+    in both, one.
     """
-    digests = stored(content_digests(docs, id_col, text_col), "digests")
-    copies = digest_groups(digests).filter("group_size > 1").select("digest", "keep_id", "group_size")
-    joined = digests.join(copies, "digest", "left")
+    digests, copies = _indexed(docs, id_col, text_col)
+    joined = digests.join(copies.drop("n_points", "n_ties"), "digest", "left")
     size = F.coalesce("group_size", F.lit(1).cast("long"))
     return joined.select(
         "doc_id",
         F.when(F.col("group_size").isNull(), F.col("doc_id")).otherwise(F.col("keep_id")).alias("keep_id"),
         size.alias("group_size"),
-        (F.col("group_size").isNull() | F.col("doc_id").eqNullSafe(F.col("keep_id"))).alias("kept"),
-        F.lower(F.hex("digest")).alias("text_sha256"),
+        (F.col("group_size").isNull() | (F.col("row") == F.col("keep_row"))).alias("kept"),
+        F.lower(F.hex(F.substring("digest", 1, 32))).alias("text_sha256"),
     )
 
 
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows that exact_dedup() keeps, with all their columns: one of each group of equal texts.
+
+    Rows are recognised by text, length and id.  Where several are alike in all of these, they meet in
+    an aggregation that combines before its shuffle.
+    """
+    digests, copies = _indexed(docs, id_col, text_col)
+    forget(digests)
+    names = [free_name(n, *docs.columns) for n in ("_key", "_points", "_keep_id", "_keep_points", "_ties")]
+    key, points, keep_id, keep_points, ties = names
+    keyed = docs.withColumn(key, content_key(text_col)).withColumn(points, F.char_length(_text(text_col)).cast("long"))
+    best = copies.select(F.col("digest").alias(key), F.col("keep_id").alias(keep_id), F.col("n_points").alias(keep_points), F.col("n_ties").alias(ties))
+    is_best = (F.col(points) == F.col(keep_points)) & F.col(id_col).cast("long").eqNullSafe(F.col(keep_id))
+    kept = keyed.join(best, key, "left").filter(F.col(ties).isNull() | (is_best & (F.col(ties) == 1))).select(*docs.columns)
+    tied = best.filter(F.col(ties) > 1)
+    if tied.isEmpty():
+        return kept
+    alike = keyed.join(tied, key).filter(is_best).groupBy(key).agg(F.first(F.struct(*docs.columns)).alias("_row"))
+    return kept.unionByName(alike.select("_row.*"))
+
+
 _LIVE = "digest binary, live long"
 
 
@@ -234,7 +268,8 @@ def update_index(index: DataFrame | None, inserts: DataFrame | None, deletes: Da
     rows = parts[0]
     for p in parts[1:]:
         rows = rows.unionByName(p)
-    return rows.filter(F.col("digest").isNotNull()).repartition(shards(rows.sparkSession), "digest").mapInArrow(_update_shard, _LIVE)
+    rows = stored(rows.filter(F.col("digest").isNotNull()), "changes")
+    return rows.repartition(shards_of(rows.sparkSession, rows.count(), SHARD_ROWS), "digest").mapInArrow(_update_shard, _LIVE)
 
 
 def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -12,12 +12,14 @@ What may be similar is found exactly, in steps that each read less:
 4. what is left forms clusters by shared signatures, which are searched in shards of bounded size.
 
 Scale: 2 and 3 are one exchange: each batch of texts sends its distinct keys, one a batch however
-often it has them, so a passage that every document holds is one key a batch.  Texts are shuffled
-once, sets never but for what step 3 leaves.  In a shard, a document that is linked to the hub needs
-no search of its own (a link that it would find to one outside is found from there), so a group of
-near copies takes about one search a shard; only documents outside the largest component of a
-cluster are sent to its other shards.  Links leave a task as spanning edges.  There is no cap on list
-lengths, candidates or partners.
+often it has them, so a passage that every document holds is one key a batch; keys are dealt into as
+many parts as their number asks for.  Texts are shuffled once, sets never but for what step 3 leaves.
+In a shard, a document that is linked to the hub needs no search of its own (a link that it would
+find to one outside is found from there), so a group of near copies takes about one search a shard.
+Only documents outside the largest component of a cluster ask in other shards, in those that hold a
+document with a signature of theirs, and in groups of bounded size.  What belongs to a cluster as a
+whole is joined over SPREAD salts, so that a large one is many tasks' work.  Links leave a task as
+spanning edges.  There is no cap on list lengths, candidates or partners.
 
 Defined cases: a null text counts as empty; a text without words has the empty set and links with
 nothing; one with fewer words than a shingle has one element; documents with the same id are one
@@ -34,10 +36,10 @@ from math import log2
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, documents, shards, stored
+from .common import bounded_batches, documents, drop_stored, free_name, shards, stored
 from .components import connected_components
 from .embedding_dedup import _Forest
 from .hashing import mix, shingle_sets
@@ -45,6 +47,10 @@ from .signatures import signatures
 
 #: Members, and elements, of one shard of a cluster.
 SHARD_MEMBERS, SHARD_ELEMENTS = 512, 2_000_000
+#: Parts that the rows of one cluster are dealt into for a join by cluster.
+SPREAD = 64
+#: Elements of one part of an exchange of keys, about.
+PART_ELEMENTS = 2_000_000
 
 
 def _texts(docs: DataFrame, *more: str) -> DataFrame:
@@ -187,9 +193,9 @@ def _add_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield out(group)
 
 
-def _shared_counts(requests: DataFrame) -> DataFrame:
+def _shared_counts(requests: DataFrame, parts: int) -> DataFrame:
     """(owner, n) of requests: how many of an owner's keys some other owner has too."""
-    n = shards(requests.sparkSession)
+    n = max(shards(requests.sparkSession), parts // 4)  # tasks; each takes its parts one by one
     seen = requests.repartition(n, "p").sortWithinPartitions("p").mapInArrow(_count_shared(2 * n), _COUNTS)
     return seen.repartition(n, "p").sortWithinPartitions("p").mapInArrow(_add_counts, "owner long, n long").filter("n > 0")
 
@@ -316,59 +322,97 @@ def _search_shard(num: int, den: int, only_guests: bool):
     return run
 
 
+def _for_clusters(rows: DataFrame, table: DataFrame) -> DataFrame:
+    """rows left-joined with a table that has a row for each cluster of some size, over salts: the rows
+    of one cluster are many tasks' work."""
+    spread = table.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SPREAD - 1))))
+    return rows.withColumn("_salt", F.pmod(F.xxhash64(F.lit(3), "rep"), F.lit(SPREAD)).cast("int")).join(spread, ["cluster", "_salt"], "left").drop("_salt")
+
+
+def _in_shards(n: str) -> Column:
+    """Shards for the rows of a group, by their number and that of their elements."""
+    return F.greatest(F.ceil(F.count("*") / SHARD_MEMBERS), F.ceil(F.sum(n) / SHARD_ELEMENTS)).cast("int")
+
+
 def _links(sets: DataFrame, num: int, den: int) -> DataFrame:
     """(u, v): links that connect whatever is connected by similarity."""
     lists = sets.select("rep", F.explode("signatures").alias("element"))
     hubs = lists.groupBy("element").agg(F.min("rep").alias("hub"), F.max("rep").alias("_last")).filter("hub <> _last").drop("_last")
     near = lists.join(hubs, "element").filter("rep <> hub").select(F.col("hub").alias("u"), F.col("rep").alias("v")).distinct()
     clusters = connected_components(near).select(F.col("node").alias("rep"), F.col("component").alias("cluster"))
-    members = stored(sets.select("rep", "n", "elements").join(clusters, "rep"), "members")
-    sizes = members.groupBy("cluster").agg(F.greatest(F.ceil(F.count("*") / SHARD_MEMBERS), F.ceil(F.sum("n") / SHARD_ELEMENTS)).cast("int").alias("shards"))
-    dealt = members.join(sizes, "cluster").withColumn("shard", F.pmod(F.xxhash64("rep"), F.col("shards")).cast("int"))
-    home = dealt.select("cluster", "shard", "rep", "elements", F.lit(0).alias("guest"))
-    hub_rows = dealt.filter("shards > 1 and rep = cluster")
+    light = stored(sets.select("rep", "n").join(clusters, "rep"), "clusters")
+    wide = stored(light.groupBy("cluster").agg(_in_shards("n").alias("shards")).filter("shards > 1"), "wide")
+    dealt = _for_clusters(light, wide).withColumn("shards", F.coalesce("shards", F.lit(1)))
+    dealt = dealt.withColumn("shard", F.pmod(F.xxhash64("rep"), F.col("shards")).cast("int"))
+    home = stored(dealt.join(sets.select("rep", "elements"), "rep"), "members")
+    asked = home.select("cluster", "shard", "rep", "elements", F.lit(0).alias("guest"))
+    # the hub of a cluster asks in all of its shards
     every = F.explode(F.sequence(F.lit(0), F.col("shards") - 1))
-    guests = hub_rows.select("cluster", every.alias("to"), "rep", "elements", F.lit(1).alias("guest"), "shard").filter("`to` <> shard").select("cluster", F.col("to").alias("shard"), "rep", "elements", "guest")
-    first = stored(home.unionByName(guests).groupBy("cluster", "shard").applyInArrow(_search_shard(num, den, False), _EDGES), "links")
-    if sizes.filter("shards > 1").limit(1).count() == 0:
+    hub = home.filter("shards > 1 and rep = cluster").select("cluster", every.alias("to"), "rep", "elements", "shard").filter("`to` <> shard")
+    first = asked.unionByName(hub.select("cluster", F.col("to").alias("shard"), "rep", "elements", F.lit(1).alias("guest")))
+    first = stored(first.groupBy("cluster", "shard").applyInArrow(_search_shard(num, den, False), _EDGES), "links")
+    if wide.isEmpty():
         return first
-    # clusters of several shards: whoever is outside the largest component asks in the other shards
+    # clusters of several shards: whoever is outside the largest component asks in other shards
     parts = connected_components(first).withColumnRenamed("node", "rep")
-    wide = dealt.filter("shards > 1").join(parts, "rep", "left").withColumn("component", F.coalesce("component", "rep"))
-    largest = wide.groupBy("cluster", "component").count().groupBy("cluster").agg(F.max_by("component", F.struct("count", "component")).alias("largest"))
-    outside = wide.join(largest, "cluster").filter("component <> largest")
-    asking = outside.select("cluster", every.alias("to"), "rep", "elements", F.lit(1).alias("guest"), "shard").filter("`to` <> shard").select("cluster", F.col("to").alias("shard"), "rep", "elements", "guest")
-    asked = asking.select("cluster", "shard").distinct()
-    second = home.join(asked, ["cluster", "shard"], "left_semi").unionByName(asking).groupBy("cluster", "shard").applyInArrow(_search_shard(num, den, True), _EDGES)
+    placed = home.filter("shards > 1").select("rep", "n", "cluster", "shard").join(parts, "rep", "left").withColumn("component", F.coalesce("component", "rep"))
+    largest = placed.groupBy("cluster", "component").count().groupBy("cluster").agg(F.max_by("component", F.struct("count", "component")).alias("largest"))
+    outside = _for_clusters(placed, largest).filter("component <> largest").select("rep", F.col("n").alias("weight"))
+    # in those that hold a document with a signature of theirs: similar ones share one
+    marks = lists.join(placed.select("rep", "cluster", "shard"), "rep")
+    holders = marks.select("cluster", "element", F.col("shard").alias("to")).distinct()
+    guests = marks.join(outside, "rep").join(holders, ["cluster", "element"]).filter("`to` <> shard").select("cluster", "to", "rep", "weight").distinct()
+    guests = stored(guests, "guests")
+    groups = guests.groupBy("cluster", "to").agg(_in_shards("weight").alias("groups"))
+    every_group = F.explode(F.sequence(F.lit(0), F.col("groups") - 1)).alias("group")
+    asking = guests.join(groups, ["cluster", "to"]).withColumn("group", F.pmod(F.xxhash64(F.lit(5), "rep"), F.col("groups")).cast("int"))
+    asking = asking.select("cluster", F.col("to").alias("shard"), "group", "rep", F.lit(1).alias("guest")).join(home.select("rep", "elements"), "rep")
+    there = asked.join(groups.select("cluster", F.col("to").alias("shard"), every_group), ["cluster", "shard"])
+    second = there.unionByName(asking).groupBy("cluster", "shard", "group").applyInArrow(_search_shard(num, den, True), _EDGES)
     return first.unionByName(stored(second, "links"))
 
 
-
 def similar_documents(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
     """A row a document: doc_id, n_shingles, component_id (smallest id that links reach)."""
     spark = docs.sparkSession
     num, den = percent, 100
-    parts = shards(spark) * 4
     index = stored(set_index(docs, size), "sets")
+    elements = index.agg(F.sum("n_shingles")).first()[0] or 0
+    parts = max(4 * shards(spark), elements // PART_ELEMENTS)
     classes = index.filter("n_shingles > 0 and doc_id is not null").groupBy("set_a", "set_b").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n"))
     # step 2: classes that share a signature
-    likely = _shared_counts(_signature_requests(docs, size, num / den, parts)).select(F.col("owner").alias("set_a"))
+    likely = _shared_counts(_signature_requests(docs, size, num / den, parts), parts).select(F.col("owner").alias("set_a"))
     wanted = stored(classes.join(likely, "set_a", "left_semi"), "likely")
     # a sort-merge join at every size: the wanted ids grow with the documents
     ids = wanted.select("rep", "n").hint("merge")
     texts = _texts(docs).join(ids, F.col("doc_id") == F.col("rep")).select("rep", "n", "text")
     texts = stored(texts, "texts")
     # step 3: classes of which enough shingles occur elsewhere
-    shared = _shared_counts(_shingle_requests(texts, size, parts)).withColumnRenamed("owner", "_rep").withColumnRenamed("n", "shared")
+    shared = _shared_counts(_shingle_requests(texts, size, parts), parts).withColumnRenamed("owner", "_rep").withColumnRenamed("n", "shared")
     kept = texts.join(shared, F.col("rep") == F.col("_rep")).filter(F.col("shared") * den >= F.col("n") * num)
     sets = stored(_sets(kept, size, num, den), "kept")
-    component = connected_components(_links(sets, num, den)).withColumnRenamed("node", "rep")
+    drop_stored(wanted, texts)
+    component = stored(connected_components(_links(sets, num, den)).withColumnRenamed("node", "rep"), "components")
+    drop_stored(sets)
     named = classes.join(component, "rep", "left").select("set_a", "set_b", F.coalesce("component", "rep").alias("component_id"))
     joined = index.join(named, ["set_a", "set_b"], "left")
     own = F.when((F.col("n_shingles") > 0) & F.col("doc_id").isNotNull(), F.col("component_id")).otherwise(F.col("doc_id"))
     return joined.select("doc_id", "n_shingles", own.alias("component_id"))
 
 
+def keep_one_of_similar(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
+    """The rows of docs, all columns, without those that links join to one with a smaller doc_id.
+
+    Rows are numbered once and linked by number, so ids may repeat or be null (null ids come last).
+    """
+    row = free_name("_row", *docs.columns)
+    numbered = stored(docs.withColumn(row, F.monotonically_increasing_id()), "rows")
+    found = similar_documents(numbered.select(F.col(row).alias("doc_id"), "text"), size, percent)
+    members = found.select(F.col("doc_id").alias(row), "component_id").join(numbered.select(row, F.col("doc_id").cast("long").alias("_id")), row)
+    best = members.groupBy("component_id").agg(F.min(F.struct(F.col("_id").isNull(), "_id", row)).alias("_best")).select(F.col(f"_best.{row}").alias(row))
+    return numbered.join(stored(best, "stays"), row, "left_semi").drop(row)
+
+
 def op7_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return similar_documents(documents(spark, sf_dir), size=3, percent=90)
 

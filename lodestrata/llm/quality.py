@@ -8,8 +8,9 @@ Only texts go into features; labels, ids, languages and sources don't.
 
 Scale: the fit takes at most MAX_TRAIN labelled documents (those with the smallest hashes of their
 ids, so a sample that does not depend on order), gathered as all their feature places, packed in two
-bytes a place and at most 32 KB a document (256 MB in all) however long its text.  Scoring is one map
-over whole texts, without a shuffle, with a model of fixed size.
+bytes a place and at most 32 KB a document (256 MB in all) however long its text.  It runs in one task
+on an executor, which sends the driver the model alone.  Scoring is one map over whole texts, without
+a shuffle, with a model of fixed size.
 
 Defined cases: a null text counts as empty; an empty text has the score of the bias alone; a document
 with null id is scored and counts as not held out; labels that are null or not 0 or 1 teach nothing,
@@ -157,9 +158,17 @@ class Model:
 
     def __init__(self, weights: np.ndarray, ratios: np.ndarray, a: float, b: float):
         # an indicator's x is its ratio over the row's length, so two sums give the margin
-        self.product = (weights[:-1] * ratios).astype(np.float32)
-        self.square = (ratios**2).astype(np.float32)
-        self.bias, self.a, self.b = float(weights[-1]), a, b
+        self._set((weights[:-1] * ratios).astype(np.float32), (ratios**2).astype(np.float32), float(weights[-1]), a, b)
+
+    def _set(self, product: np.ndarray, square: np.ndarray, bias: float, a: float, b: float) -> None:
+        self.product, self.square, self.bias, self.a, self.b = product, square, bias, a, b
+
+    @classmethod
+    def of(cls, product: np.ndarray, square: np.ndarray, bias: float, a: float, b: float) -> Model:
+        """A model from its own numbers, as a fit on an executor sends them."""
+        model = cls.__new__(cls)
+        model._set(product, square, bias, a, b)
+        return model
 
     def score(self, place: np.ndarray) -> float:
         length = (float(self.square[place].sum(dtype=np.float64)) + SHRINK) ** 0.5
@@ -220,19 +229,32 @@ def fit_quality(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN)
     known = known.groupBy("doc_id").agg(F.min("quality").alias("label"))
     sample = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_train)
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    rows = texts.join(F.broadcast(sample), "doc_id").select("doc_id", "text", "label").mapInArrow(_place_batches, "doc_id long, label int, places binary").toArrow()
-    # rows come in any order; the fit goes by id.  Places are read where Arrow has them
-    found: list[tuple[int, int, pa.Buffer]] = []
-    places = body = None
-    for ids, labelled, places in zip(*(rows.column(i).chunks for i in range(3))):
-        body = [x.as_buffer() for x in places]
-        found += zip(ids.to_pylist(), labelled.to_pylist(), body)
-    found.sort(key=lambda r: r[:2])
-    packed = [p for _, _, p in found]
-    model = train(_Rows(packed, range(len(packed)), _unpack_places), np.array([x for _, x, _ in found]))
-    del rows, places, body, found, packed
-    pa.default_memory_pool().release_unused()
-    return model
+    # the sample has a proven bound, MAX_TRAIN rows of two numbers
+    rows = texts.join(F.broadcast(sample), "doc_id").select("doc_id", "text", "label").mapInArrow(_place_batches, "doc_id long, label int, places binary")
+    found = rows.repartition(1).mapInArrow(_fit_batches, _MODEL).first()
+    if found is None:
+        return train([], np.zeros(0))
+    return Model.of(np.frombuffer(found["product"], np.float32), np.frombuffer(found["square"], np.float32), found["bias"], found["a"], found["b"])
+
+
+_MODEL = "product binary, square binary, bias double, a double, b double"
+
+
+def _fit_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The model, one row of fixed size, of all rows of the sample; no row without rows.
+
+    One task, whose memory the sample's bound bounds: 32 KB a row at most.  Rows come in any order, so
+    the fit goes by id and label; a lost executor means the same fit again.
+    """
+    rows: list[tuple[int, int, bytes]] = []
+    for batch in batches:
+        rows += zip(*(c.to_pylist() for c in batch.columns))
+    if rows:
+        rows.sort()
+        packed = [p for _, _, p in rows]
+        model = train(_Rows(packed, range(len(packed)), _unpack_places), np.array([x for _, x, _ in rows]))
+        cells = (model.product.tobytes(), model.square.tobytes(), model.bias, model.a, model.b)
+        yield pa.RecordBatch.from_arrays([pa.array([c], t) for c, t in zip(cells, (pa.binary(), pa.binary(), *[pa.float64()] * 3))], [x.split()[0] for x in _MODEL.split(", ")])
 
 
 def score_quality(docs: DataFrame, model: Model, name: str = "score") -> DataFrame:

@@ -3,7 +3,7 @@ import random
 
 import pytest
 
-from lodestrata.llm.exact_dedup import CuckooIndex, content_digests, exact_dedup, update_index
+from lodestrata.llm.exact_dedup import CuckooIndex, content_digests, exact_dedup, keep_one, update_index
 
 WHITE = {ord(c): None for c in " \t\n\x0b\x0c\r"}
 
@@ -13,11 +13,14 @@ def brute(rows):
     for i, t in rows:
         groups.setdefault((t or "").translate(WHITE), []).append((-len(t or ""), i is None, i or 0))
     keep = {k: min(v) for k, v in groups.items()}
-    out = []
+    out, done = [], set()
     for i, t in rows:
         k = (t or "").translate(WHITE)
         best = None if keep[k][1] else keep[k][2]
-        out.append((i, best, len(groups[k]), i == best, hashlib.sha256(k.encode()).hexdigest()))
+        # of rows alike in id and text one stays
+        kept = k not in done and (-len(t or ""), i is None, i or 0) == keep[k]
+        done |= {k} if kept else set()
+        out.append((i, best, len(groups[k]), kept, hashlib.sha256(k.encode()).hexdigest()))
     return sorted(out, key=repr)
 
 
@@ -46,6 +49,18 @@ def test_clashing_columns(spark):
     assert sorted((r["doc_id"], r["kept"]) for r in got.collect()) == [(1, True), (2, False)]
 
 
+def test_keep_one_keeps_rows(spark):
+    """Whole rows, also where ids are null or repeated and columns have names of its own."""
+    rows = [(None, "a", 1), (5, "a ", 2), (5, "a ", 3), (None, "b", 4), (None, "b", 5), (7, "c", 6), (7, "d", 7), (8, "d", 8), (None, None, 9), (9, " ", 10)]
+    rows += [(None, "hot", i) for i in range(20, 220)] + [(300, "x" * 300_000, 11), (301, "x" * 300_000 + "\n", 12)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, _key int").repartition(4)
+    got = keep_one(docs).collect()
+    assert [r["_key"] for r in got if r["text"] == "hot"] and len(got) == 7
+    left = sorted(("x" if len(r["text"] or "") > 99 else r["text"], r["doc_id"]) for r in got if r["text"] not in ("b", "hot"))
+    assert left == sorted([("a ", 5), ("c", 7), ("d", 7), (" ", 9), ("x", 301)])
+    assert keep_one(docs.limit(0)).isEmpty()
+
+
 def key(i):
     return hashlib.sha256(str(i).encode()).digest()
 
@@ -80,7 +95,7 @@ def test_index_of_live_digests(spark):
     index = update_index(None, docs(["a", "a ", "b", "c"]), None)
     index = update_index(index, docs(["d"]), docs(["a", "b", "never"]))
     name = {hashlib.sha256(t.encode()).digest(): t for t in "abcd"}
-    assert {name[bytes(r["digest"])]: r["live"] for r in index.collect()} == {"a": 1, "c": 1, "d": 1}
+    assert {name[bytes(r["digest"])[:32]]: r["live"] for r in index.collect()} == {"a": 1, "c": 1, "d": 1}
 
 
 @pytest.mark.parametrize("name", ["op1_packing", "op5_exact_dedup", "op6_chat_format", "op4_token_counts", "op2_embedding_dedup", "op7_ngram_jaccard"])
