@@ -5,10 +5,11 @@ the least padding: cost(i, j] pads every length of (i, j] to the length at j.  I
 a minimum of lines in the length at j, with slopes that fall, so a lower envelope finds each layer in
 linear time.  In each bucket the documents, in id order, fill batches of token_budget // width rows.
 
-Scale: one scan counts, and writes 20 bytes a document; the histogram has a proven bound (lengths up
-to 2**14 are exact, above that they are rounded up to 14 significant bits, so under 8,192 values for
-each doubling).  Positions in a bucket are a count by id block plus a rank in the block, so no task
-holds a bucket.
+Scale: one scan counts by built-in functions, and writes 20 bytes a document; the histogram has a
+proven bound (lengths up to 2**14 are exact; above that those that agree in 14 significant bits are a
+class, which ends at its longest document, so there are under 8,192 for each doubling).  Places in a
+bucket come from one numbering of all rows over written ranges of (bucket, id, row), whatever the ids
+are like, so no task holds a bucket, nor all rows of one id.
 
 Defined cases: a null text counts as empty, a document without tokens takes one padded place; longer
 documents than the budget are a batch of their own, never cut; repeated ids are ranked in any order
@@ -18,18 +19,16 @@ among themselves; null ids come first; an empty table gives no rows; other colum
 from __future__ import annotations
 
 from collections import deque
-from collections.abc import Iterator, Sequence
+from collections.abc import Sequence
 
-import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, documents, stored
+from ..operators.versions import numbered
+from .common import documents, stored
 
 BUCKETS = 16
 TOKEN_BUDGET = 16_384
-#: Ids of one block are ranked together.
-BLOCK = 1 << 16
 _EXACT_BITS = 14
 
 
@@ -77,16 +76,10 @@ def optimal_boundaries(lengths: Sequence[int], counts: Sequence[int], k: int) ->
     return ends[::-1], best_area - tokens
 
 
-def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        n = [len(x.split()) if x else 0 for x in batch.column(1).cast(pa.large_binary()).to_pylist()]
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64())], ["doc_id", "n_tokens"])
-
-
 def word_lengths(docs: DataFrame) -> DataFrame:
     """doc_id, n_tokens (runs outside ASCII white space)."""
-    bounded_batches(docs.sparkSession)
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(_count_words, "doc_id long, n_tokens long")
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.regexp_count(text, F.lit(r"[^\x20\x09-\x0D]+")).cast("long").alias("n_tokens"))
 
 
 def pack(lengths: DataFrame, buckets: int = BUCKETS, token_budget: int = TOKEN_BUDGET) -> DataFrame:
@@ -95,25 +88,20 @@ def pack(lengths: DataFrame, buckets: int = BUCKETS, token_budget: int = TOKEN_B
     bucket counts from 0; batch numbers the batches of a bucket, slot the rows of a batch.
     """
     spark = lengths.sparkSession
-    rows = stored(lengths.select("doc_id", F.greatest(F.coalesce("n_tokens", F.lit(0)), F.lit(0)).cast("long").alias("n_tokens")), "lengths")
-    rows = rows.withColumn("_len", F.greatest("n_tokens", F.lit(1)).cast("long"))
+    rows = lengths.select(F.col("doc_id").cast("long").alias("doc_id"), F.greatest(F.coalesce("n_tokens", F.lit(0)), F.lit(0)).cast("long").alias("n_tokens"))
+    rows = stored(rows.withColumn("_row", F.monotonically_increasing_id()), "lengths").withColumn("_len", F.greatest("n_tokens", F.lit(1)).cast("long"))
     step = f"shiftleft(1L, greatest(0, length(bin(_len)) - {_EXACT_BITS}))"
-    rows = rows.withColumn("_width", F.expr(f"((_len + {step} - 1) div {step}) * {step}"))
-    histogram = sorted(tuple(r) for r in rows.groupBy("_width").count().collect())
+    classes = rows.groupBy(F.expr(f"(_len + {step} - 1) div {step} * {step}")).agg(F.max("_len"), F.count("*"))
+    histogram = sorted((longest, n) for _, longest, n in classes.collect())
     ends, _ = optimal_boundaries([w for w, _ in histogram], [n for _, n in histogram], buckets)
     if not ends:
         return spark.createDataFrame([], "doc_id long, n_tokens long, bucket int, bucket_width long, batch long, slot int, padding long")
-    bounds = F.array(*[F.lit(e).cast("long") for e in ends])
-    rows = rows.withColumn("bucket", F.size(F.filter(bounds, lambda e: e < F.col("_width")))).withColumn("bucket_width", F.element_at(bounds, F.col("bucket") + 1))
-    rows = rows.withColumn("_block", F.expr(f"floor(doc_id / {BLOCK})"))
-    sizes = rows.groupBy("bucket", "_block").agg(F.count("*").alias("_n"))
-    before = Window.partitionBy("bucket").orderBy(F.col("_block").asc_nulls_first()).rowsBetween(Window.unboundedPreceding, -1)
-    offsets = sizes.select(F.col("bucket").alias("_b"), F.col("_block").alias("_k"), F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_offset"))
-    inside = Window.partitionBy("bucket", "_block").orderBy("doc_id")
-    ranked = rows.withColumn("_rank", F.row_number().over(inside) - 1)
-    ranked = ranked.join(offsets, (F.col("bucket") == F.col("_b")) & F.col("_block").eqNullSafe(F.col("_k")))
-    ranked = ranked.withColumn("_at", F.col("_rank") + F.col("_offset")).withColumn("_rows", F.expr(f"greatest(1L, {token_budget} div bucket_width)"))
-    return ranked.select(
+    before = [sum(n for w, n in histogram if w <= e) for e in (0, *ends)]  # rows of the buckets below each
+    bounds, offsets = (F.array(*[F.lit(x).cast("long") for x in xs]) for xs in (ends, before))
+    rows = rows.withColumn("bucket", F.size(F.filter(bounds, lambda e: e < F.col("_len")))).withColumn("bucket_width", F.element_at(bounds, F.col("bucket") + 1))
+    placed = numbered(rows, "_n", [F.col("bucket").asc(), F.col("doc_id").asc_nulls_first(), F.col("_row").asc()])
+    placed = placed.withColumn("_at", F.col("_n") - 1 - F.element_at(offsets, F.col("bucket") + 1)).withColumn("_rows", F.expr(f"greatest(1L, {token_budget} div bucket_width)"))
+    return placed.select(
         "doc_id", "n_tokens", "bucket", "bucket_width",
         F.expr("_at div _rows").alias("batch"), F.expr("cast(_at % _rows as int)").alias("slot"), (F.col("bucket_width") - F.col("n_tokens")).alias("padding"),
     )
@@ -139,11 +127,11 @@ def _oracle(buckets: int = BUCKETS, token_budget: int = TOKEN_BUDGET) -> str:
 WITH d AS (SELECT doc_id, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS n_tokens FROM documents),
 w AS (SELECT *, CAST(ceil(greatest(n_tokens, 1) / step) * step AS BIGINT) AS width
       FROM (SELECT *, pow(2, greatest(0, floor(log2(greatest(n_tokens, 1))) - {_EXACT_BITS - 1})) AS step FROM d)),
-h AS (SELECT row_number() OVER (ORDER BY width) AS j, width AS len, CAST(sum(n) OVER (ORDER BY width) AS BIGINT) AS total
-      FROM (SELECT width, count(*) AS n FROM w GROUP BY width)),
+h AS (SELECT row_number() OVER (ORDER BY len) AS j, len, CAST(sum(n) OVER (ORDER BY len) AS BIGINT) AS total
+      FROM (SELECT max(greatest(n_tokens, 1)) AS len, count(*) AS n FROM w GROUP BY width)),
 {", ".join(layers)},
 best AS (SELECT ends FROM ({final}) ORDER BY area, k LIMIT 1),
-b AS (SELECT doc_id, n_tokens, CAST(len(list_filter(ends, lambda e: e < width)) AS INTEGER) AS bucket, ends FROM w, best),
+b AS (SELECT doc_id, n_tokens, CAST(len(list_filter(ends, lambda e: e < greatest(n_tokens, 1))) AS INTEGER) AS bucket, ends FROM w, best),
 r AS (SELECT doc_id, n_tokens, bucket, ends[bucket + 1] AS bucket_width, row_number() OVER (PARTITION BY bucket ORDER BY doc_id) - 1 AS place FROM b)
 SELECT doc_id, n_tokens, bucket, bucket_width, place // greatest(1, {token_budget} // bucket_width) AS batch,
        CAST(place % greatest(1, {token_budget} // bucket_width) AS INTEGER) AS slot, bucket_width - n_tokens AS padding FROM r

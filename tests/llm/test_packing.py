@@ -52,3 +52,22 @@ def test_repeated_ids_empty_table_and_words(spark):
     assert pack(spark.createDataFrame([], "doc_id long, n_tokens long")).isEmpty()
     docs = spark.createDataFrame([(1, None, 1), (2, "", 2), (3, " a\tb c\n", 3), (4, "w " * 50_000, 4)], "doc_id long, text string, n_tokens int")
     assert {r["doc_id"]: r["n_tokens"] for r in word_lengths(docs).collect()} == {1: 0, 2: 0, 3: 2, 4: 50_000}
+
+
+def test_sparse_ids_clashing_names_and_real_widths(spark):
+    from pyspark.sql import functions as F
+
+    n = 30_000
+    lengths = spark.range(n).select(F.when(F.col("id") % 7 == 0, None).when(F.col("id") % 3 == 0, F.lit(5)).otherwise(F.xxhash64("id")).alias("doc_id"), (F.pmod(F.xxhash64("id"), F.lit(50_000)) + F.lit(16_000)).alias("n_tokens"), F.lit(1).alias("bucket"), F.lit("x").alias("_len"), F.lit(2).alias("slot"))
+    rows = pack(lengths, buckets=5, token_budget=200_000).collect()
+    assert len(rows) == n
+    by = {}
+    for r in rows:
+        assert r["padding"] == r["bucket_width"] - r["n_tokens"] >= 0
+        by.setdefault(r["bucket"], []).append(r)
+    for group in by.values():
+        assert group[0]["bucket_width"] == max(r["n_tokens"] for r in group)  # no width that no document has
+        room = 200_000 // group[0]["bucket_width"]
+        assert sorted((r["batch"], r["slot"]) for r in group) == [(i // room, i % room) for i in range(len(group))]
+        order = sorted(group, key=lambda r: (r["batch"], r["slot"]))
+        assert [r["doc_id"] for r in order] == sorted((r["doc_id"] for r in order), key=lambda i: (i is not None, i or 0))
