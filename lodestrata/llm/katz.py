@@ -374,8 +374,8 @@ def _score_pairs(numbers: Numbers):
         for batch in batches:
             rows = []
             for p, kind, chunk, pairs, follower, history, more, extra, occur in zip(*(c.to_pylist() for c in batch.columns)):
-                if p != at:
-                    at, table = p, None
+                if p != at:  # a partition may be asked for histories of which it has no follower
+                    at, table = p, _Table(numbers)
                 if kind == 0:
                     seen, mass = _unpack(more, np.uint32).reshape(-1, DISCOUNTED), np.frombuffer(extra, np.float64)
                     table = _Table(numbers, _unpack_pairs(pairs), _unpack(follower, np.int64), _unpack(history, np.uint32), _unpack(occur, np.int64), seen, mass)
@@ -391,10 +391,21 @@ def _score_pairs(numbers: Numbers):
     return run
 
 
+_NONE = np.zeros(0, np.int64)
+
+
+def _find(table: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(which keys the sorted table has, their places); places of the others mean nothing."""
+    if not len(table):
+        return np.zeros(len(keys), bool), np.zeros(len(keys), np.int64)
+    spot = np.minimum(np.searchsorted(table, keys), len(table) - 1)
+    return table[spot] == keys, spot
+
+
 class _Table:
     """The bigrams of one partition, ready to be looked up."""
 
-    def __init__(self, numbers: Numbers, pairs, counts, histories, occur, seen, mass):
+    def __init__(self, numbers: Numbers, pairs=_NONE.astype(np.uint64), counts=_NONE, histories=_NONE, occur=_NONE, seen=_NONE.reshape(0, DISCOUNTED), mass=_NONE):
         self.pairs, self.histories, self.numbers = pairs, histories, numbers
         self.alpha, extra = _weights(seen, mass, occur, numbers.discounts)
         for i in np.flatnonzero(numbers.salts(occur) > 1):
@@ -405,18 +416,20 @@ class _Table:
 
     def score(self, key: np.ndarray, c: np.ndarray | None) -> np.ndarray:
         """log10 P(w | h) of pairs whose history occurs in training; c: the words' counts."""
-        spot = np.minimum(np.searchsorted(self.pairs, key), len(self.pairs) - 1)
-        score = self.known[spot]
-        if c is not None and len(miss := np.flatnonzero(self.pairs[spot] != key)):
+        hit, spot = _find(self.pairs, key)
+        score = np.zeros(len(key))
+        score[hit] = self.known[spot[hit]]
+        if len(miss := np.flatnonzero(~hit)):
             alpha = self._alpha((key[miss] >> np.uint64(32)).astype(np.uint32))
             score[miss] = np.log10(np.maximum(alpha * self.numbers.word_prob(c[miss]), 1e-300))
         return score
 
     def _alpha(self, h: np.ndarray) -> np.ndarray:
-        spot = np.minimum(np.searchsorted(self.histories, h), len(self.histories) - 1)
-        alpha = self.alpha[spot]
+        hit, spot = _find(self.histories, h)
+        alpha = np.zeros(len(h))
+        alpha[hit] = self.alpha[spot[hit]]
         # a history dealt over partitions may have none of its followers in this one
-        for i in np.flatnonzero(self.histories[spot] != h):
+        for i in np.flatnonzero(~hit):
             alpha[i] = self.numbers.wide[int(h[i])][0]
         return alpha
 

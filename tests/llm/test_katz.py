@@ -108,6 +108,15 @@ def test_wide_histories_are_dealt_and_added_up(spark, monkeypatch):
     check(score(model).collect(), rows)
 
 
+@pytest.mark.parametrize("known, asked", [(1, 1), (6, 40), (6, 1), (50, 3)])
+def test_short_texts_with_new_words(spark, known, asked):
+    """Held-out texts that begin with words that START was not seen with, on few and short texts."""
+    train, held = [i for i in range(3000) if not Brute.held(i)][:known], [i for i in range(3000) if Brute.held(i)][:asked]
+    rows = [(i, f"a{i % 4} b{i % 3}") for i in train] + [(i, f"new{i} a1 b2 old b{i % 3}" if i % 2 else "a1 new") for i in held]
+    docs = spark.createDataFrame([(*r, "x", 1) for r in rows], "doc_id long, text string, chunk string, held int").repartition(5)
+    check(score(fit(docs)).collect(), rows)
+
+
 def test_nothing_to_learn_from(spark):
     held = [i for i in range(200) if Brute.held(i)][:3]
     rows = [(i, "a b") for i in held]
