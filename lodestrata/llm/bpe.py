@@ -328,5 +328,11 @@ def round_trip_digests(docs: DataFrame, path: str | None = None) -> DataFrame:
     return _texts(docs).mapInArrow(run, _DIGESTS)
 
 
+def token_counter(spark: SparkSession, path: str | None = None):
+    """A function for tasks: how many tokens a text has; ids are counted run by run and not kept."""
+    source = _sent(spark, path)
+    return lambda text: sum(len(ids) // 4 for ids in _tokenizer(source.value).encode_runs(text))
+
+
 def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return round_trip_digests(documents(spark, sf_dir))

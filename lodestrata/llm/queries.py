@@ -9,6 +9,7 @@ QUERIES = {
     "op2_embedding_dedup": embedding_dedup.op2_embedding_dedup,
     "op3_bpe": bpe.op3_bpe,
     "op4_token_counts": token_counts.op4_token_counts,
+    "rollup_plain": token_counts.rollup_plain,
     "op5_exact_dedup": exact_dedup.op5_exact_dedup,
     "op6_chat_format": chat_format.op6_chat_format,
     "op7_ngram_jaccard": ngram_jaccard.op7_ngram_jaccard,
@@ -20,7 +21,7 @@ ORACLES = {
     "op1_packing": packing.ORACLE,
     "op7_ngram_jaccard": ngram_jaccard.ORACLE,
     "op2_embedding_dedup": embedding_dedup.ORACLE,
-    "op4_token_counts": token_counts.ORACLE,
+    "rollup_plain": token_counts.ORACLE,
     "op5_exact_dedup": exact_dedup.ORACLE,
     "op6_chat_format": chat_format.ORACLE,
 }

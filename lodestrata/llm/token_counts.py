@@ -3,139 +3,174 @@
 The store keeps signed rows (one for each insertion, -1 for what a deletion or revision takes back)
 and additive totals by source, language and tokenizer version.  A batch reads the live rows of the
 keys that it names, turns its changes into signed rows, adds their sums to the totals and becomes
-visible by one commit file, created exclusively.  A batch id that is committed already has no
-effect, so a batch may be delivered any number of times.
-
-Scale: a batch's work goes with the batch and the keys that it touches (a join by document); totals
-are sums, combined before the shuffle, so a source with a third of all rows is a few rows a task.
+visible by one commit file, which appears whole and which one writer alone can create; the loser
+reads on and tries again in folders of its own.  A batch id that is committed already has no effect,
+so a batch may be delivered any number of times.
+
+Scale: the ledger is written in ranges of doc_id.  A batch reads it within the bounds of its own ids
+(which prune files and row groups) and semi-joins it to its own keys before anything is summed, so
+work goes with the batch and the keys that it touches.  Totals are sums, combined before the shuffle:
+a source with a third of all rows is a few rows a task.  Commits are checkpointed, so a reader opens
+CHECKPOINT_EVERY of them at most; batch ids are remembered for the last KNOWN_BATCHES batches.
 Ledger files are never rewritten but by compact(), which replaces them by their live sums.
 
 Defined cases: null source or lang form groups of their own; null counts count as 0; an insertion of
 a live key counts as a revision; a deletion or revision of a key that isn't live has no effect, but a
-revision inserts where it names source and lang; within one batch the last change of a key by `order`
-(then by op, count) holds, repeated rows count once; rows with null doc_id or
-tokenizer, or another op, are ignored;
-other columns are ignored.
+revision inserts where it names source and lang; within one batch the last change of a key by the
+column that `order` names (then by op, count) holds, repeated rows count once; rows with null doc_id
+or tokenizer, or another op, are ignored; other columns, whatever their names, are ignored; a null
+text counts as empty, and texts of any length are counted whole.
 """
 
 from __future__ import annotations
 
-import json
-from zlib import crc32
+import uuid
+from collections.abc import Iterator
 
-from pyspark.sql import DataFrame, SparkSession, Window
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import documents, scratch
+from ..sources.commits import CommitLog, Files, scratch
+from .bpe import token_counter
+from .common import bounded_batches, documents, stored
 
 KEY = ["doc_id", "tokenizer"]
 GROUP = ["source", "lang", "tokenizer"]
+CHECKPOINT_EVERY = 20
+KNOWN_BATCHES = 10_000
 _LEDGER = "doc_id long, source string, lang string, tokenizer string, docs long, tokens long"
 _TOTALS = "source string, lang string, tokenizer string, n_docs long, n_tokens long"
 
 
+class State:
+    """What the commits up to a version say: ledger folders, the folder of totals, known batch ids."""
+
+    def __init__(self) -> None:
+        self.version, self.ledger, self.totals, self.batches = 0, [], None, {}
+
+    def apply(self, version: int, entry: dict) -> None:
+        self.version = version
+        self.ledger = entry["ledger"] if entry["replaces"] else self.ledger + entry["ledger"]
+        self.totals = entry["totals"]
+        self.batches |= dict.fromkeys(entry["batches"])
+        for old in list(self.batches)[:-KNOWN_BATCHES]:
+            del self.batches[old]
+
+
 class RollupStore:
-    """A rollup under a folder: ledger/<batch>, totals/<version>, commits/<version>.json."""
+    """A rollup under a folder: _manifest/<version>.json, ledger/<unique>, totals/<unique>."""
 
     def __init__(self, spark: SparkSession, path: str):
         self.spark, self.path = spark, path.rstrip("/")
-        jvm = spark.sparkContext._jvm
-        self._new_path = jvm.org.apache.hadoop.fs.Path
-        self._io = jvm.org.apache.commons.io.IOUtils
-        self._utf8 = jvm.java.nio.charset.StandardCharsets.UTF_8
-        self._fs = self._new_path(self.path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-        self._fs.mkdirs(self._new_path(f"{self.path}/commits"))
-
-    def _commits(self) -> list[dict]:
-        """Commits in order: one small file a batch, read on the driver; never data."""
-        files = sorted(f.getPath().getName() for f in self._fs.listStatus(self._new_path(f"{self.path}/commits")))
-        found = []
-        for name in files:
-            if not name.endswith(".json"):
-                continue
-            stream = self._fs.open(self._new_path(f"{self.path}/commits/{name}"))
-            try:
-                found.append(json.loads(self._io.toString(stream, self._utf8)))
-            finally:
-                stream.close()
-        return found
-
-    def _commit(self, version: int, entry: dict) -> bool:
-        """Create the commit file, unless another writer has made this version."""
-        try:
-            out = self._fs.create(self._new_path(f"{self.path}/commits/{version:020d}.json"), False)
-        except Exception as e:
-            if "already exists" in str(e) or "AlreadyExists" in str(e):
-                return False
-            raise
-        out.write(bytearray(json.dumps(entry).encode()))
-        out.close()
-        return True
-
-    def ledger(self, commits: list[dict] | None = None) -> DataFrame:
+        self._log = CommitLog(Files(spark, self.path))
+
+    def state(self) -> State:
+        """The last version, from its last checkpoint on; small files, read on the driver, never data."""
+        found, state = self._log.versions(), State()
+        start = next((i for i in range(len(found) - 1, -1, -1) if self._log.read(found[i])["replaces"]), 0)
+        for v in found[start:]:
+            state.apply(v, self._log.read(v))
+        return state
+
+    def _commit(self, state: State, batches: list[str], ledger: list[str], totals: str | None, replaces: bool = False) -> bool:
+        """Whether this became the next version; False where another writer's commit did."""
+        version = state.version + 1
+        if version % CHECKPOINT_EVERY == 0:  # says all there is, and so is a checkpoint
+            batches = [*state.batches, *batches]
+            ledger, replaces = ledger if replaces else state.ledger + ledger, True
+        return self._log.commit(version, {"batches": batches, "ledger": ledger, "totals": totals, "replaces": replaces})
+
+    def ledger(self, state: State | None = None) -> DataFrame:
         """All signed rows that count."""
-        commits = self._commits() if commits is None else commits
-        last = max((i for i, c in enumerate(commits) if c.get("replaces")), default=0)
-        paths = [f"{self.path}/{c['ledger']}" for c in commits[last:] if c.get("ledger")]
+        state = state or self.state()
+        paths = [f"{self.path}/{folder}" for folder in state.ledger]
         return self.spark.read.schema(_LEDGER).parquet(*paths) if paths else self.spark.createDataFrame([], _LEDGER)
 
-    def live(self, commits: list[dict] | None = None) -> DataFrame:
-        """The live rows: doc_id, source, lang, tokenizer, tokens."""
+    @staticmethod
+    def _sums(rows: DataFrame) -> DataFrame:
         names = ["doc_id", "source", "lang", "tokenizer"]
-        sums = self.ledger(commits).groupBy(*names).agg(F.sum("docs").alias("docs"), F.sum("tokens").alias("tokens"))
+        sums = rows.groupBy(*names).agg(F.sum("docs").alias("docs"), F.sum("tokens").alias("tokens"))
         return sums.filter("docs > 0").select(*names, "tokens")
 
-    def totals(self, commits: list[dict] | None = None) -> DataFrame:
+    def live(self, state: State | None = None) -> DataFrame:
+        """The live rows: doc_id, source, lang, tokenizer, tokens."""
+        return self._sums(self.ledger(state))
+
+    def live_of(self, changes: DataFrame, state: State) -> DataFrame:
+        """The live rows of the keys of a batch."""
+        low, high = changes.agg(F.min("doc_id"), F.max("doc_id")).first()
+        near = self.ledger(state).filter(F.col("doc_id").between(low, high)) if low is not None else self.ledger(state).limit(0)
+        return self._sums(near.join(changes.select(*KEY), KEY, "left_semi"))
+
+    def totals(self, state: State | None = None) -> DataFrame:
         """source, lang, tokenizer, n_docs, n_tokens after the last commit."""
-        commits = self._commits() if commits is None else commits
-        if not commits:
+        state = state or self.state()
+        if state.totals is None:
             return self.spark.createDataFrame([], _TOTALS)
-        return self.spark.read.schema(_TOTALS).parquet(f"{self.path}/{commits[-1]['totals']}")
+        return self.spark.read.schema(_TOTALS).parquet(f"{self.path}/{state.totals}")
 
-    def apply(self, batch_id: str, changes: DataFrame) -> bool:
-        """Apply changes (doc_id, source, lang, tokenizer, op, tokens[, order]) once; False where the
-        batch id is committed already.  op: insert, revise or delete."""
+    def _changes(self, changes: DataFrame, order: str | None) -> DataFrame:
+        """The change that holds of each key."""
+        names = ["doc_id", "source", "lang", "tokenizer"]
+        rows = changes.select(
+            F.col("doc_id").cast("long").alias("doc_id"), *[F.col(c).cast("string").alias(c) for c in names[1:]], F.col("op"),
+            F.coalesce(F.col("tokens").cast("long"), F.lit(0).cast("long")).alias("tokens"), (F.col(order) if order else F.lit(0)).alias("_order"),
+        )
+        rows = rows.filter("doc_id is not null and tokenizer is not null and op in ('insert', 'revise', 'delete')")
+        last = rows.groupBy(*KEY).agg(F.max(F.struct("_order", "op", "tokens", "source", "lang")).alias("c"))
+        return stored(last.select(*KEY, "c.op", "c.tokens", "c.source", "c.lang"), "changes")
+
+    def apply(self, batch_id: str, changes: DataFrame, order: str | None = None) -> bool:
+        """Apply changes (doc_id, source, lang, tokenizer, op, tokens) once; False where the batch id
+        is committed already.  op: insert, revise or delete; order names a column of changes."""
+        state = self.state()
+        if batch_id in state.batches:
+            return False
+        new = self._changes(changes, order)
         while True:
-            commits = self._commits()
-            if any(c["batch"] == batch_id for c in commits):
-                return False
-            version = len(commits)
-            if "order" not in changes.columns:
-                changes = changes.withColumn("order", F.lit(0))
-            fields = [F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), F.col("lang").cast("string").alias("lang"), F.col("tokenizer").cast("string").alias("tokenizer")]
-            new = changes.select(*fields, "op", F.coalesce(F.col("tokens").cast("long"), F.lit(0).cast("long")).alias("tokens"), "order").filter("doc_id is not null and tokenizer is not null and op in ('insert', 'revise', 'delete')")
-            new = new.groupBy(*KEY).agg(F.max(F.struct("order", "op", "tokens", "source", "lang")).alias("c")).select(*KEY, "c.op", "c.tokens", "c.source", "c.lang")
-            if not commits:  # nothing is live yet: no join
+            if not state.ledger:  # nothing is live yet: no join
                 delta = new.filter("op = 'insert' or op = 'revise' and (source is not null or lang is not null)").select("doc_id", "source", "lang", "tokenizer", F.lit(1).cast("long").alias("docs"), "tokens")
             else:
-                old = self.live(commits).select(*[F.col(c).alias(f"old_{c}") for c in ("doc_id", "tokenizer", "source", "lang", "tokens")])
-                both = new.join(old, (F.col("doc_id") == F.col("old_doc_id")) & (F.col("tokenizer") == F.col("old_tokenizer")), "left")
-                was = F.col("old_doc_id").isNotNull()
-                take = F.when(was, F.struct(F.col("old_source").alias("source"), F.col("old_lang").alias("lang"), F.lit(-1).cast("long").alias("docs"), (-F.col("old_tokens")).alias("tokens")))
-                give = F.when(
-                    (F.col("op") != "delete") & (was | F.col("source").isNotNull() | F.col("lang").isNotNull() | (F.col("op") == "insert")),
-                    F.struct(F.when(was & (F.col("op") == "revise"), F.coalesce("source", "old_source")).otherwise(F.col("source")).alias("source"), F.when(was & (F.col("op") == "revise"), F.coalesce("lang", "old_lang")).otherwise(F.col("lang")).alias("lang"), F.lit(1).cast("long").alias("docs"), F.col("tokens")),
-                )
-                delta = both.select(*KEY, F.explode(F.filter(F.array(take, give), lambda x: x.isNotNull())).alias("d")).select("doc_id", "d.source", "d.lang", "tokenizer", "d.docs", "d.tokens")
-            entry = {"batch": batch_id, "ledger": f"ledger/{version:020d}-{crc32(batch_id.encode())}", "totals": f"totals/{version:020d}-{crc32(batch_id.encode())}"}
-            delta.write.mode("overwrite").parquet(f"{self.path}/{entry['ledger']}")
-            added = self.spark.read.schema(_LEDGER).parquet(f"{self.path}/{entry['ledger']}").groupBy(*GROUP).agg(F.sum("docs").alias("n_docs"), F.sum("tokens").alias("n_tokens"))
-            self._write_totals(self.totals(commits).unionByName(added), entry)
-            if self._commit(version, entry):
+                delta = self._delta(new, self.live_of(new, state))
+            ledger, totals = f"ledger/{uuid.uuid4().hex}", f"totals/{uuid.uuid4().hex}"
+            delta.repartitionByRange("doc_id").sortWithinPartitions("doc_id").write.parquet(f"{self.path}/{ledger}")
+            added = self.spark.read.schema(_LEDGER).parquet(f"{self.path}/{ledger}").groupBy(*GROUP).agg(F.sum("docs").alias("n_docs"), F.sum("tokens").alias("n_tokens"))
+            sums = self.totals(state).unionByName(added).groupBy(*GROUP).agg(F.sum("n_docs").alias("n_docs"), F.sum("n_tokens").alias("n_tokens"))
+            sums.filter("n_docs <> 0").write.parquet(f"{self.path}/{totals}")
+            if self._commit(state, [batch_id], [ledger], totals):
                 return True
+            state = self.state()  # another writer was faster
+            if batch_id in state.batches:
+                return False
 
-    def _write_totals(self, parts: DataFrame, entry: dict) -> None:
-        sums = parts.groupBy(*GROUP).agg(F.sum("n_docs").alias("n_docs"), F.sum("n_tokens").alias("n_tokens"))
-        sums.filter("n_docs <> 0").write.mode("overwrite").parquet(f"{self.path}/{entry['totals']}")
-
-    def compact(self) -> None:
-        """Replace all ledger files by their live rows; totals stay."""
-        commits = self._commits()
-        if commits:
-            version = len(commits)
-            entry = {"batch": f"compact-{version}", "ledger": f"ledger/{version:020d}-c", "totals": commits[-1]["totals"], "replaces": True}
-            self.live(commits).select("doc_id", "source", "lang", "tokenizer", F.lit(1).cast("long").alias("docs"), "tokens").write.mode("overwrite").parquet(f"{self.path}/{entry['ledger']}")
-            self._commit(version, entry)
+    @staticmethod
+    def _delta(new: DataFrame, live: DataFrame) -> DataFrame:
+        """The signed rows that changes make of the live rows of their keys."""
+        old = live.select(*[F.col(c).alias(f"old_{c}") for c in ("doc_id", "tokenizer", "source", "lang", "tokens")])
+        both = new.join(old, (F.col("doc_id") == F.col("old_doc_id")) & (F.col("tokenizer") == F.col("old_tokenizer")), "left")
+        was = F.col("old_doc_id").isNotNull()
+        take = F.when(was, F.struct(F.col("old_source").alias("source"), F.col("old_lang").alias("lang"), F.lit(-1).cast("long").alias("docs"), (-F.col("old_tokens")).alias("tokens")))
+        named = lambda c: F.when(was & (F.col("op") == "revise"), F.coalesce(c, f"old_{c}")).otherwise(F.col(c)).alias(c)
+        give = F.when(
+            (F.col("op") != "delete") & (was | F.col("source").isNotNull() | F.col("lang").isNotNull() | (F.col("op") == "insert")),
+            F.struct(named("source"), named("lang"), F.lit(1).cast("long").alias("docs"), F.col("tokens")),
+        )
+        return both.select(*KEY, F.explode(F.filter(F.array(take, give), lambda x: x.isNotNull())).alias("d")).select("doc_id", "d.source", "d.lang", "tokenizer", "d.docs", "d.tokens")
+
+    def compact(self) -> bool:
+        """Replace all ledger files by their live rows; totals stay.  False where a writer was faster."""
+        state = self.state()
+        if not state.ledger:
+            return False
+        ledger = f"ledger/{uuid.uuid4().hex}"
+        rows = self.live(state).select("doc_id", "source", "lang", "tokenizer", F.lit(1).cast("long").alias("docs"), "tokens")
+        rows.repartitionByRange("doc_id").sortWithinPartitions("doc_id").write.parquet(f"{self.path}/{ledger}")
+        return self._commit(state, list(state.batches), [ledger], state.totals, replaces=True)
+
+
+BPE = "byte_bpe_50k"
+PLAIN = ("bytes-1", "words-1")
 
 
 def counted(docs: DataFrame) -> DataFrame:
@@ -147,16 +182,29 @@ def counted(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", "source", "lang", F.explode(both).alias("c")).select("doc_id", "source", "lang", "c.tokenizer", "c.tokens")
 
 
-def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Totals after three batches over all documents: an estimate a document from the column
-    n_chars, its revision by counts of the whole texts (delivered twice), and the deletion of what
-    the labels call low quality."""
+def counted_bpe(docs: DataFrame, path: str | None = None) -> DataFrame:
+    """doc_id, source, lang, tokenizer, tokens under the byte-level tokenizer of bpe.py."""
+    bounded_batches(docs.sparkSession)
+    count = token_counter(docs.sparkSession, path)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            n = [count(t or "") for t in batch.column(3).to_pylist()]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array([BPE] * len(n), pa.string()), pa.array(n, pa.int64())], ["doc_id", "source", "lang", "tokenizer", "tokens"])
+
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), *[F.col(c).cast("string").alias(c) for c in ("source", "lang", "text")])
+    return rows.mapInArrow(run, "doc_id long, source string, lang string, tokenizer string, tokens long")
+
+
+def _rolled_up(spark: SparkSession, sf_dir: str, exact: DataFrame, versions: tuple[str, ...]) -> DataFrame:
+    """Totals after three batches over all documents: an estimate a document from the column n_chars,
+    its revision by counts of the whole texts (delivered twice), and the deletion of what the labels
+    call low quality."""
     store = RollupStore(spark, scratch(spark, "rollup"))
-    docs = documents(spark, sf_dir)
-    names = F.explode(F.array(F.lit("bytes-1"), F.lit("words-1"))).alias("tokenizer")
-    first = docs.select("doc_id", "source", "lang", names, F.lit("insert").alias("op"), F.coalesce(F.col("n_chars"), F.lit(0)).alias("tokens"))
+    names = F.explode(F.array(*[F.lit(v) for v in versions])).alias("tokenizer")
+    first = documents(spark, sf_dir).select("doc_id", "source", "lang", names, F.lit("insert").alias("op"), F.coalesce(F.col("n_chars"), F.lit(0)).alias("tokens"))
     store.apply("estimates", first)
-    exact = counted(docs).withColumn("op", F.lit("revise"))
+    exact = exact.withColumn("op", F.lit("revise"))
     store.apply("counts", exact)
     store.apply("counts", exact)
     poor = spark.read.parquet(f"{sf_dir}/labels.parquet").filter("quality = 0").select("doc_id", F.lit(None).cast("string").alias("source"), F.lit(None).cast("string").alias("lang"), names, F.lit("delete").alias("op"), F.lit(0).alias("tokens"))
@@ -164,6 +212,18 @@ def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return store.totals()
 
 
+def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The rollup by tokens of the byte-level tokenizer, bytes and words."""
+    docs = documents(spark, sf_dir)
+    return _rolled_up(spark, sf_dir, counted(docs).unionByName(counted_bpe(docs)), (*PLAIN, BPE))
+
+
+def rollup_plain(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same rollup by what SQL can count, to be held against it."""
+    return _rolled_up(spark, sf_dir, counted(documents(spark, sf_dir)), PLAIN)
+
+
+#: Of rollup_plain; the tokens of the byte-level tokenizer have no SQL.
 ORACLE = r"""
 WITH d AS (SELECT source, lang, coalesce(text, '') AS text FROM documents
            WHERE doc_id NOT IN (SELECT doc_id FROM labels WHERE quality = 0 AND doc_id IS NOT NULL)),

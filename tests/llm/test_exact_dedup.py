@@ -98,7 +98,7 @@ def test_index_of_live_digests(spark):
     assert {name[bytes(r["digest"])[:32]]: r["live"] for r in index.collect()} == {"a": 1, "c": 1, "d": 1}
 
 
-@pytest.mark.parametrize("name", ["op1_packing", "op5_exact_dedup", "op6_chat_format", "op4_token_counts", "op2_embedding_dedup", "op7_ngram_jaccard"])
+@pytest.mark.parametrize("name", ["op1_packing", "op5_exact_dedup", "op6_chat_format", "rollup_plain", "op2_embedding_dedup", "op7_ngram_jaccard"])
 def test_queries_against_sql(name, spark, duck, sf_dir):
     from lodestrata.llm.queries import ORACLES, QUERIES
 
