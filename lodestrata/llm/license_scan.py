@@ -1,10 +1,11 @@
 """License scans by template-markup matching.
 
-A template is a license text with markup: [[words]] may be missing, {{n}} stands for one to n words
+A template is a license's whole text with markup: [[words]] may be missing, {{n}} stands for one to n words
 of any kind, {{0-n}} for none to n.  It is compiled into an automaton over words; a place in a text
 is accepted when the words from there on lead the automaton to its end, so all wording outside the
-markup must agree exactly, while case, punctuation and line breaks don't count.  Beside the
-templates, fixed phrases are counted wherever their words stand consecutively.
+markup must agree exactly, while case, punctuation and line breaks don't count.  Sentences that refer
+to a license are templates of their own, with a lower score.  Beside them, fixed phrases are counted
+wherever their words stand consecutively.
 
 Words are runs of ASCII letters, digits and characters outside ASCII, with A-Z lower-cased.
 
@@ -31,24 +32,114 @@ from .hashing import text_buffer
 #: Fixed phrases and their labels.
 PHRASES = (("mit license", "mit"), ("apache license", "apache"), ("general public license", "gpl"))
 
-#: Fixed wording of public licenses and notices, with the markup of this module.
+# Sentences by which files refer to a license, and the whole wording of public licenses
+# and of the notices that licenses ask for, with the markup of this module where their forms differ.
+NOTICES = (
+    ("mit-notice", "released under the [[terms of the]] MIT license"),
+    ("mit-notice", "licensed under the [[terms of the]] MIT license"),
+    ("apache-notice", "licensed under the Apache license [[version 2.0]]"),
+    ("gpl-notice", "under the terms of the [[GNU]] general public license"),
+    ("gpl-notice", "distributed under the [[GNU]] general public license"),
+)
 TEMPLATES = (
-    ("mit-notice", "released under the mit license"),
-    ("mit-notice", "licensed under the [[terms of the]] mit license"),
-    ("apache-notice", "licensed under the apache license [[version 2 0]]"),
-    ("gpl-notice", "under the terms of the [[gnu]] general public license"),
-    ("gpl-notice", "distributed under the [[gnu]] general public license"),
-    ("gpl-text", "is free software you can redistribute it and or modify it under the terms of the gnu [[lesser]] [[affero]] general public license as published by the free software foundation"),
     (
         "mit-text",
-        "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the software to deal in the software without restriction including without limitation the rights to use copy modify merge publish distribute sublicense and or sell copies of the software and to permit persons to whom the software is furnished to do so subject to the following conditions the above copyright notice and this permission notice [[including the next paragraph]] shall be included in all copies or substantial portions of the software",
+        """Permission is hereby granted, free of charge, to any person obtaining a copy of this software and
+        associated documentation files (the "Software"), to deal in the Software without restriction, including
+        without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell
+        copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the
+        following conditions: The above copyright notice and this permission notice [[(including the next
+        paragraph)]] shall be included in all copies or substantial portions of the Software. THE SOFTWARE IS
+        PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE
+        WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL
+        {{1-20}} BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR
+        OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE
+        SOFTWARE.""",
+    ),
+    (
+        "isc-text",
+        """Permission to use, copy, modify, and[[/or]] distribute this software for any purpose with or without
+        fee is hereby granted, provided that the above copyright notice and this permission notice appear in all
+        copies. THE SOFTWARE IS PROVIDED "AS IS" AND {{1-20}} DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS
+        SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL {{1-20}} BE
+        LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING
+        FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION,
+        ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE.""",
     ),
-    ("isc-text", "permission to use copy modify and [[or]] distribute this software for any purpose with or without fee is hereby granted provided that the above copyright notice and this permission notice appear in all copies"),
     (
         "bsd-text",
-        "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met [[1]] redistributions of source code must retain the above copyright notice this list of conditions and the following disclaimer [[2]] redistributions in binary form must reproduce the above copyright notice this list of conditions and the following disclaimer in the documentation and or other materials provided with the distribution [[[[3]] neither the name of {{12}} nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission]]",
+        """Redistribution and use in source and binary forms, with or without modification, are permitted provided
+        that the following conditions are met: [[1]] Redistributions of source code must retain the above copyright
+        notice, this list of conditions and the following disclaimer. [[2]] Redistributions in binary form must
+        reproduce the above copyright notice, this list of conditions and the following disclaimer in the
+        documentation and/or other materials provided with the distribution. [[ [[3]] Neither the name of {{1-20}}
+        nor the names of {{1-4}} contributors may be used to endorse or promote products derived from this software
+        without specific prior written permission. ]] THIS SOFTWARE IS PROVIDED BY {{1-20}} "AS IS" AND ANY EXPRESS
+        OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS
+        FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL {{1-20}} BE LIABLE FOR ANY DIRECT, INDIRECT,
+        INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF
+        SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON
+        ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE)
+        ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE.""",
+    ),
+    (
+        "apache-text",
+        """Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in
+        compliance with the License. You may obtain a copy of the License at {{1-12}} Unless required by applicable
+        law or agreed to in writing, software distributed under the License is distributed on an "AS IS" BASIS,
+        WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific
+        language governing permissions and limitations under the License.""",
+    ),
+    (
+        "gpl-text",
+        """is free softwareyou can redistribute it and/or modify it under the terms of the GNU [[Lesser]]
+        [[Library]] [[Affero]] General Public License as published by the Free Software Foundation, either
+        version {{1-3}} of the License, or (at your option) any later version. {{1-4}} is distributed in the hope
+        that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or
+        FITNESS FOR A PARTICULAR PURPOSE. See the GNU [[Lesser]] [[Library]] [[Affero]] General Public License for
+        more details. You should have received a copy of the GNU [[Lesser]] [[Library]] [[Affero]] General Public
+        License along with {{1-20}}""",
+    ),
+    (
+        "zlib-text",
+        """This software is provided 'as-is', without any express or implied warranty. In no event will {{1-20}} be
+        held liable for any damages arising from the use of this software. Permission is granted to anyone to use
+        this software for any purpose, including commercial applications, and to alter it and redistribute it
+        freely, subject to the following restrictions: [[1]] The origin of this software must not be misrepresented;
+        you must not claim that you wrote the original software. If you use this software in a product, an
+        acknowledgment in the product documentation would be appreciated but is not required. [[2]] Altered source
+        versions must be plainly marked as such, and must not be misrepresented as being the original software.
+        [[3]] This notice may not be removed or altered from any source distribution.""",
+    ),
+    (
+        "boost-text",
+        """Permission is hereby granted, free of charge, to any person or organization obtaining a copy of the software
+        and accompanying documentation covered by this license (the "Software") to use, reproduce, display,
+        distribute, execute, and transmit the Software, and to prepare derivative works of the Software, and to permit
+        third-parties to whom the Software is furnished to do so, all subject to the following: The copyright notices
+        in the Software and this entire statement, including the above license grant, this restriction and the
+        following disclaimer, must be included in all copies of the Software, in whole or in part, and all derivative
+        works of the Software, unless such copies or derivative works are solely in the form of machine-executable
+        object code generated by a source language processor. THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY
+        KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A
+        PARTICULAR PURPOSE, TITLE AND NON-INFRINGEMENT. IN NO EVENT SHALL THE COPYRIGHT HOLDERS OR ANYONE DISTRIBUTING
+        THE SOFTWARE BE LIABLE FOR ANY DAMAGES OR OTHER LIABILITY, WHETHER IN CONTRACT, TORT OR OTHERWISE, ARISING
+        FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.""",
+    ),
+    (
+        "unlicense-text",
+        """This is free and unencumbered software released into the public domain. Anyone is free to copy, modify,
+        publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary,
+        for any purpose, commercial or non-commercial, and by any means. In jurisdictions that recognize copyright
+        laws, the author or authors of this software dedicate any and all copyright interest in the software to the
+        public domain. We make this dedication for the benefit of the public at large and to the detriment of our heirs
+        and successors. We intend this dedication to be an overt act of relinquishment in perpetuity of all present and
+        future rights to this software under copyright law. THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY
+        KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A
+        PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER
+        LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE
+        SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.""",
     ),
-    ("apache-text", "you may not use this file except in compliance with the license you may obtain a copy of the license at {{0-12}} unless required by applicable law or agreed to in writing software distributed under the license is distributed on an as is basis without warranties or conditions of any kind"),
 )
 
 _WORD = rb"[0-9a-z\x80-\xff]+"
@@ -68,7 +159,7 @@ class Template:
         lead: list[bytes] = []
         plain = True
         at = 0
-        for part in re.findall(r"\[\[|\]\]|\{\{(?:\d+-)?\d+\}\}|[^\s\[\]{}]+", text.lower()):
+        for part in re.findall(r"\[\[|\]\]|\{\{(?:\d+-)?\d+\}\}|[0-9a-z\x80-\U0010ffff]+", text.lower()):
             if part == "[[":
                 opened.append(at)
                 plain = plain and not lead
@@ -130,12 +221,12 @@ def _tail(lower: bytes, start: int) -> memoryview:
 _COMPILED: dict[tuple, tuple] = {}
 
 
-def _compiled(phrases: tuple, templates: tuple) -> tuple:
-    key = (phrases, templates)
+def _compiled(phrases: tuple, notices: tuple, templates: tuple) -> tuple:
+    key = (phrases, notices, templates)
     if key not in _COMPILED:
         base = [(label, re.compile(_EDGE + _GAP.join(w.encode() for w in phrase.split()) + _END)) for phrase, label in phrases]
         made = [Template(label, text) for label, text in templates]
-        _COMPILED[key] = (base, made)
+        _COMPILED[key] = (base, [Template(label, text) for label, text in notices], made)
     return _COMPILED[key]
 
 
@@ -144,9 +235,9 @@ _BODY[[*range(48, 58), *range(65, 91), *range(97, 123), *range(128, 256)]] = Tru
 _SCHEMA = "doc_id long, n_words long, n_base long, first_word long, last_word long, base_labels string, labels string, score double"
 
 
-def scan_text(body: bytes, starts: np.ndarray, phrases: tuple = PHRASES, templates: tuple = TEMPLATES) -> tuple:
+def scan_text(body: bytes, starts: np.ndarray, phrases: tuple = PHRASES, notices: tuple = NOTICES, templates: tuple = TEMPLATES) -> tuple:
     """(n_base, first_word, last_word, base_labels, labels, score) of one text; starts: where its words start."""
-    base, made = _compiled(phrases, templates)
+    base, said, made = _compiled(phrases, notices, templates)
     lower = body.lower()
     places, named = [], set()
     for label, pattern in base:
@@ -154,7 +245,8 @@ def scan_text(body: bytes, starts: np.ndarray, phrases: tuple = PHRASES, templat
         if hits:
             named.add(label)
             places += hits
-    own = {t.label for t in made if t.found_in(lower)}
+    whole = {t.label for t in made if t.found_in(lower)}
+    own = whole | {t.label for t in said if t.found_in(lower)}
     at = np.searchsorted(starts, np.array(places, np.int64)) if places else None
     return (
         len(places),
@@ -162,14 +254,15 @@ def scan_text(body: bytes, starts: np.ndarray, phrases: tuple = PHRASES, templat
         None if at is None else int(at.max()),
         ",".join(sorted(named)),
         ",".join(sorted(named | own)),
-        1.0 if own else 0.5 if named else 0.0,
+        1.0 if whole else 0.75 if own else 0.5 if named else 0.0,
     )
 
 
-def scan_licenses(docs: DataFrame, phrases: tuple = PHRASES, templates: tuple = TEMPLATES) -> DataFrame:
+def scan_licenses(docs: DataFrame, phrases: tuple = PHRASES, notices: tuple = NOTICES, templates: tuple = TEMPLATES) -> DataFrame:
     """A row a document: doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score.
 
-    score: 1 where a template's whole wording is found, 0.5 where only a phrase is, else 0.
+    score: 1 where a license's whole mandatory wording is found, 0.75 where a sentence that refers to one
+    is, 0.5 where only a phrase is, else 0.
     """
     bounded_batches(docs.sparkSession)
 
@@ -181,7 +274,7 @@ def scan_licenses(docs: DataFrame, phrases: tuple = PHRASES, templates: tuple =
                 solid = _BODY[values[a:b]]
                 solid[1:] &= ~solid[:-1].copy()
                 starts = np.flatnonzero(solid)
-                rows.append((len(starts), *scan_text(values[a:b].tobytes(), starts, phrases, templates)))
+                rows.append((len(starts), *scan_text(values[a:b].tobytes(), starts, phrases, notices, templates)))
             cols = list(zip(*rows)) if rows else [()] * 7
             kinds = [pa.int64()] * 4 + [pa.string()] * 2 + [pa.float64()]
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, t) for c, t in zip(cols, kinds))], [x.split()[0] for x in _SCHEMA.split(", ")])
