@@ -8,9 +8,10 @@ blocks is joined by recursion: halves of the two sequences that are provably dis
 what remains is compared in double precision.
 
 Scale: equal vectors are one class first, so copies count but are never paired.  A block has at most
-BLOCK classes and every pair of blocks is a row of its own, so a dense region is many tasks' work.
-Pairs of blocks meet by an equality join on the cells that their boxes cover.  Links leave a task as
-counts for each vector and as a spanning forest, never as all pairs.  The rotation is fitted on at
+BLOCK classes; blocks that follow each other in the order form groups of bounded bytes, and a pair of
+groups with near blocks is one task's work, so a dense region is many tasks'.  Pairs of blocks meet by
+an equality join on the cells that their boxes cover; a block is sent once to each pair of groups that
+needs it.  Links leave a task as counts for each vector and as a spanning forest, never as all pairs.  The rotation is fitted on at
 most SAMPLE vectors; it decides speed only, since distance in any coordinates never exceeds distance.
 
 Defined cases: vectors that are null, empty or zero, hold null or non-finite components, or have a
@@ -36,6 +37,10 @@ THRESHOLD = 0.98
 BLOCK = 1024
 LEAF = 64
 SAMPLE = 4_096
+#: Bytes of the vectors of one group of blocks, about; a task holds two groups.
+GROUP_BYTES = 16 << 20
+#: Cosines that lie this close to the threshold are computed again with more digits.
+CLOSE = 1e-12
 #: Leading coordinates: of the grid order and boxes, and of those the ones by which blocks meet.
 LEADING, MEETING = 8, 3
 
@@ -87,33 +92,42 @@ def _place(classes: DataFrame, rotations: dict[int, np.ndarray]) -> DataFrame:
     return classes.select("rep", "copies", "label", "embedding").mapInArrow(run, _PLACED)
 
 
-_BLOCKS = "block string, label long, dim int, lo array<double>, hi array<double>, reps binary, copies binary, coords binary, units binary"
+_BLOCKS = "block string, team string, label long, dim int, lo array<double>, hi array<double>, reps binary, copies binary, coords binary, units binary"
 _BLOCK_NAMES = [x.split()[0] for x in _BLOCKS.split(", ")]
 
 
-def _cut_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Runs of at most BLOCK rows of one label and length, in grid order, as one row each."""
+def _cut_blocks(most: int, group_bytes: int):
+    """Runs of at most `most` rows of one label and length, in grid order, as one row each; `team` names
+    the group of blocks that a block belongs to."""
 
-    def rows():
-        for batch in batches:
-            yield from zip(*(batch.column(i).to_pylist() for i in range(6)))
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def rows():
+            for batch in batches:
+                yield from zip(*(batch.column(i).to_pylist() for i in range(6)))
+
+        for (label, dim), run in itertools.groupby(rows(), key=lambda r: (r[2], r[3])):
+            size = max(1, group_bytes // (most * 8 * max(dim, 1)))
+            for k in itertools.count():
+                if not (some := list(itertools.islice(run, most))):
+                    break
+                reps = np.array([r[0] for r in some], np.int64)
+                coords = np.array([r[4] for r in some])
+                block = f"{label}:{dim}:{reps[0]}"
+                if k % size == 0:
+                    team = block
+                cells = [[block], [team], [label], [dim], [coords.min(0).tolist()], [coords.max(0).tolist()], [reps.tobytes()], [np.array([r[1] for r in some], np.int64).tobytes()], [coords.tobytes()], [b"".join(r[5] for r in some)]]
+                kinds = [pa.string(), pa.string(), pa.int64(), pa.int32(), pa.list_(pa.float64()), pa.list_(pa.float64()), *[pa.binary()] * 4]
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cells, kinds)], _BLOCK_NAMES)
 
-    for (label, dim), run in itertools.groupby(rows(), key=lambda r: (r[2], r[3])):
-        while some := list(itertools.islice(run, BLOCK)):
-            reps = np.array([r[0] for r in some], np.int64)
-            coords = np.array([r[4] for r in some])
-            block = f"{label}:{dim}:{reps[0]}"
-            cells = [[block], [label], [dim], [coords.min(0).tolist()], [coords.max(0).tolist()], [reps.tobytes()], [np.array([r[1] for r in some], np.int64).tobytes()], [coords.tobytes()], [b"".join(r[5] for r in some)]]
-            kinds = [pa.string(), pa.int64(), pa.int32(), pa.list_(pa.float64()), pa.list_(pa.float64()), *[pa.binary()] * 4]
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cells, kinds)], _BLOCK_NAMES)
+    return cut
 
 
-def grid_blocks(placed: DataFrame, epsilon: float) -> DataFrame:
+def grid_blocks(placed: DataFrame, epsilon: float, block: int = BLOCK, group_bytes: int = GROUP_BYTES) -> DataFrame:
     """The blocks of the epsilon grid order."""
     cells = [F.floor(F.col("coords")[i] / epsilon).alias(f"c{i}") for i in range(LEADING)]
     order = ["label", "dim", *[f"c{i}" for i in range(LEADING)], "rep"]
     sorted_rows = placed.select("*", *cells).repartitionByRange(shards(placed.sparkSession), *order).sortWithinPartitions(*order)
-    return sorted_rows.select("rep", "copies", "label", "dim", "coords", "unit").mapInArrow(_cut_blocks, _BLOCKS)
+    return sorted_rows.select("rep", "copies", "label", "dim", "coords", "unit").mapInArrow(_cut_blocks(block, group_bytes), _BLOCKS)
 
 
 def block_pairs(blocks: DataFrame, epsilon: float) -> DataFrame:
@@ -178,7 +192,11 @@ def _join_sequences(a: _Side, b: _Side, i: int, j: int, k: int, m: int, epsilon:
             for r, s in second:
                 _join_sequences(a, b, p, q, r, s, epsilon, threshold, same, forest, edges)
         return
-    near = a.units[i:j] @ b.units[k:m].T >= threshold
+    cosine = a.units[i:j] @ b.units[k:m].T
+    near = cosine >= threshold
+    for p, q in zip(*np.nonzero(np.abs(cosine - threshold) < CLOSE)):
+        u, v = a.units[i + p].astype(np.longdouble), b.units[k + q].astype(np.longdouble)
+        near[p, q] = (u * v).sum() / np.sqrt((u * u).sum() * (v * v).sum()) >= threshold
     if same and i == k:
         np.fill_diagonal(near, False)
     if not near.any():
@@ -195,29 +213,38 @@ def _join_sequences(a: _Side, b: _Side, i: int, j: int, k: int, m: int, epsilon:
 _FOUND = "rep long, n long, other long"
 
 
-def _join_blocks(threshold: float, epsilon: float):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for name, dim, *cells in zip(*(batch.column(i).to_pylist() for i in range(10))):
-                a = _Side(*cells[:4], dim)
-                same = name == 1
-                b = a if same else _Side(*cells[4:], dim)
-                edges: list = []
-                _join_sequences(a, b, 0, len(a.reps), 0, len(b.reps), epsilon, threshold, same, _Forest(), edges)
-                sides = [a] if same else [a, b]
-                reps = np.concatenate([s.reps for s in sides])
-                links = np.concatenate([s.links for s in sides])
-                hit = links > 0
-                if hit.any():
-                    rep = [*reps[hit].tolist(), *(u for u, _ in edges)]
-                    n = [*links[hit].tolist(), *[0] * len(edges)]
-                    other = [*[None] * int(hit.sum()), *(v for _, v in edges)]
-                    yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in (rep, n, other)], ["rep", "n", "other"])
+def _join_groups(threshold: float, epsilon: float):
+    """Links of all pairs of blocks of two groups (side 0 and 1), or inside one (side 0 alone)."""
+
+    def run(table: pa.Table) -> pa.Table:
+        rows = sorted(zip(*(table[c].to_pylist() for c in ("side", "block", "dim", "reps", "copies", "coords", "units"))), key=lambda r: r[:2])
+        sides = [[_Side(*r[3:], r[2]) for r in rows if r[0] == side] for side in (0, 1)]
+        edges: list = []
+        forest = _Forest()
+        pairs = itertools.product(*sides) if sides[1] else itertools.combinations_with_replacement(sides[0], 2)
+        for a, b in pairs:
+            _join_sequences(a, b, 0, len(a.reps), 0, len(b.reps), epsilon, threshold, a is b, forest, edges)
+        rep, n, other = [u for u, _ in edges], [0] * len(edges), [v for _, v in edges]
+        for s in itertools.chain(*sides):
+            hit = s.links > 0
+            rep += s.reps[hit].tolist()
+            n += s.links[hit].tolist()
+            other += [None] * int(hit.sum())
+        return pa.table([pa.array(c, pa.int64()) for c in (rep, n, other)], names=["rep", "n", "other"])
 
     return run
 
 
-def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+def group_pairs(blocks: DataFrame, epsilon: float) -> DataFrame:
+    """(one, two, side, block): the blocks that each pair of groups needs, each of them once."""
+    team = blocks.select("block", "team")
+    pairs = block_pairs(blocks, epsilon).join(team.toDF("a", "ta"), "a").join(team.toDF("b", "tb"), "b")
+    one, two = F.least("ta", "tb"), F.greatest("ta", "tb")
+    needs = F.array(*[F.struct((F.col(t) != one).cast("int").alias("side"), F.col(b).alias("block")) for b, t in (("a", "ta"), ("b", "tb"))])
+    return pairs.select(one.alias("one"), two.alias("two"), F.explode(needs).alias("need")).select("one", "two", "need.side", "need.block").distinct()
+
+
+def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD, block: int = BLOCK, group_bytes: int = GROUP_BYTES) -> DataFrame:
     """A row a vector: vec_id, n_links, component_id, kept."""
     spark = vectors.sparkSession
     bounded_batches(spark)
@@ -226,13 +253,9 @@ def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD) -> DataFra
     key = ["label", "_h", "_g"]
     hashed = rows.filter("valid").withColumn("_h", F.xxhash64("embedding")).withColumn("_g", F.xxhash64(F.lit(7), F.size("embedding"), "embedding"))
     classes = stored(hashed.groupBy(*key).agg(F.min("vec_id").alias("rep"), F.count("*").cast("long").alias("copies"), F.first("embedding").alias("embedding")), "classes")
-    blocks = stored(grid_blocks(_place(classes, _rotations(classes)), epsilon), "blocks")
-    pairs = block_pairs(blocks, epsilon)
-    payload = ["reps", "copies", "coords", "units"]
-    first = blocks.select(F.col("block").alias("a"), "dim", *[F.col(c).alias(f"a_{c}") for c in payload])
-    second = blocks.select(F.col("block").alias("b"), *[F.col(c).alias(f"b_{c}") for c in payload])
-    work = pairs.join(first, "a").join(second, "b").select((F.col("a") == F.col("b")).cast("int"), "dim", *[f"a_{c}" for c in payload], *[f"b_{c}" for c in payload])
-    found = stored(work.mapInArrow(_join_blocks(threshold, epsilon), _FOUND), "links")
+    blocks = stored(grid_blocks(_place(classes, _rotations(classes)), epsilon, block, group_bytes), "blocks")
+    work = group_pairs(blocks, epsilon).join(blocks.select("block", "dim", "reps", "copies", "coords", "units"), "block")
+    found = stored(work.groupBy("one", "two").applyInArrow(_join_groups(threshold, epsilon), _FOUND), "links")
     links = found.groupBy("rep").agg(F.sum("n").alias("n"))
     parts = connected_components(found.filter("other is not null").select(F.col("rep").alias("u"), F.col("other").alias("v")))
     verdict = classes.select(*key, "rep", "copies").join(links, "rep", "left").join(parts, F.col("rep") == F.col("node"), "left")

@@ -56,13 +56,31 @@ def test_against_brute_force(spark, rows):
     assert run(spark, rows) == brute(rows)
 
 
-def test_small_blocks(spark, rows, monkeypatch):
+@pytest.mark.parametrize("blocks_a_group", [1, 3])
+def test_small_blocks(spark, rows, monkeypatch, blocks_a_group):
     import lodestrata.llm.embedding_dedup as e
 
     monkeypatch.setattr(e, "LEAF", 4)
+    assert run(spark, rows, block=7, group_bytes=blocks_a_group * 7 * 8 * 16) == brute(rows)
     assert run(spark, rows, threshold=0.9) == brute(rows, 0.9)
 
 
+def test_a_dense_region_sends_a_block_once_to_a_pair_of_groups(spark):
+    import lodestrata.llm.embedding_dedup as e
+
+    rnd = np.random.default_rng(3)
+    near = [(i, (np.ones(8) + 0.01 * rnd.normal(size=8)).astype(np.float32).tolist(), 1) for i in range(320)]
+    frame = spark.createDataFrame(near, SCHEMA).selectExpr("vec_id as rep", "1L as copies", "cast(label as long) label", "cast(embedding as array<double>) embedding")
+    epsilon = 0.2
+    blocks = e.stored(e.grid_blocks(e._place(frame, e._rotations(frame)), epsilon, 10, 4 * 10 * 8 * 8), "blocks")
+    n, groups = blocks.count(), blocks.select("team").distinct().count()
+    assert n >= 32 and groups <= n / 2
+    pairs = e.block_pairs(blocks, epsilon).count()
+    sent = e.group_pairs(blocks, epsilon).count()
+    assert pairs == n * (n + 1) // 2 and sent <= n * groups  # by pairs of blocks it would be twice the pairs
+    assert run(spark, near, block=10, group_bytes=4 * 10 * 8 * 8) == brute(near)
+
+
 def test_odd_vectors(spark):
     inf, nan = float("inf"), float("nan")
     odd = [None, [], [0.0, 0.0], [nan, 1.0], [inf, 1.0], [None, 1.0], [1.0], [1.0, 1.0, 1.0], [1e-30, 1e-30], [3e38, 3e38], [-0.0, 1.0], [0.0, 1.0]]
