@@ -223,7 +223,8 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     keyed = docs.withColumn(key, content_key(text_col)).withColumn(points, F.char_length(_text(text_col)).cast("long"))
     best = copies.select(F.col("digest").alias(key), F.col("keep_id").alias(keep_id), F.col("n_points").alias(keep_points), F.col("n_ties").alias(ties))
     is_best = (F.col(points) == F.col(keep_points)) & F.col(id_col).cast("long").eqNullSafe(F.col(keep_id))
-    kept = keyed.join(best, key, "left").filter(F.col(ties).isNull() | (is_best & (F.col(ties) == 1))).select(*docs.columns)
+    # a sort-merge join at every size: the groups grow with the documents
+    kept = keyed.join(best.hint("merge"), key, "left").filter(F.col(ties).isNull() | (is_best & (F.col(ties) == 1))).select(*docs.columns)
     tied = best.filter(F.col(ties) > 1)
     if tied.isEmpty():
         return kept

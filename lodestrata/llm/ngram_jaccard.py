@@ -16,8 +16,8 @@ often it has them, so a passage that every document holds is one key a batch; ke
 many parts as their number asks for.  Texts are shuffled once, sets never but for what step 3 leaves.
 In a shard, a document that is linked to the hub needs no search of its own (a link that it would
 find to one outside is found from there), so a group of near copies takes about one search a shard.
-Only documents outside the largest component of a cluster ask in other shards, in those that hold a
-document with a signature of theirs, and in groups of bounded size.  What belongs to a cluster as a
+Only documents outside the largest component of a cluster ask in its other shards too, in groups of
+bounded size; these rows are the documents outside times the cluster's shards.  What belongs to a cluster as a
 whole is joined over SPREAD salts, so that a large one is many tasks' work.  Links leave a task as
 spanning edges.  There is no cap on list lengths, candidates or partners.
 
@@ -46,7 +46,7 @@ from .hashing import mix, shingle_sets
 from .signatures import signatures
 
 #: Members, and elements, of one shard of a cluster.
-SHARD_MEMBERS, SHARD_ELEMENTS = 512, 2_000_000
+SHARD_MEMBERS, SHARD_ELEMENTS = 1024, 2_000_000
 #: Parts that the rows of one cluster are dealt into for a join by cluster.
 SPREAD = 64
 #: Elements of one part of an exchange of keys, about.
@@ -338,7 +338,8 @@ def _links(sets: DataFrame, num: int, den: int) -> DataFrame:
     """(u, v): links that connect whatever is connected by similarity."""
     lists = sets.select("rep", F.explode("signatures").alias("element"))
     hubs = lists.groupBy("element").agg(F.min("rep").alias("hub"), F.max("rep").alias("_last")).filter("hub <> _last").drop("_last")
-    near = lists.join(hubs, "element").filter("rep <> hub").select(F.col("hub").alias("u"), F.col("rep").alias("v")).distinct()
+    # a sort-merge join at every size: shared signatures grow with the documents
+    near = lists.join(hubs.hint("merge"), "element").filter("rep <> hub").select(F.col("hub").alias("u"), F.col("rep").alias("v")).distinct()
     clusters = connected_components(near).select(F.col("node").alias("rep"), F.col("component").alias("cluster"))
     light = stored(sets.select("rep", "n").join(clusters, "rep"), "clusters")
     wide = stored(light.groupBy("cluster").agg(_in_shards("n").alias("shards")).filter("shards > 1"), "wide")
@@ -355,19 +356,16 @@ def _links(sets: DataFrame, num: int, den: int) -> DataFrame:
         return first
     # clusters of several shards: whoever is outside the largest component asks in other shards
     parts = connected_components(first).withColumnRenamed("node", "rep")
-    placed = home.filter("shards > 1").select("rep", "n", "cluster", "shard").join(parts, "rep", "left").withColumn("component", F.coalesce("component", "rep"))
+    placed = home.filter("shards > 1").select("rep", "n", "cluster", "shard", "shards").join(parts, "rep", "left").withColumn("component", F.coalesce("component", "rep"))
     largest = placed.groupBy("cluster", "component").count().groupBy("cluster").agg(F.max_by("component", F.struct("count", "component")).alias("largest"))
-    outside = _for_clusters(placed, largest).filter("component <> largest").select("rep", F.col("n").alias("weight"))
-    # in those that hold a document with a signature of theirs: similar ones share one
-    marks = lists.join(placed.select("rep", "cluster", "shard"), "rep")
-    holders = marks.select("cluster", "element", F.col("shard").alias("to")).distinct()
-    guests = marks.join(outside, "rep").join(holders, ["cluster", "element"]).filter("`to` <> shard").select("cluster", "to", "rep", "weight").distinct()
-    guests = stored(guests, "guests")
+    outside = _for_clusters(placed, largest).filter("component <> largest")
+    guests = stored(outside.select("cluster", every.alias("to"), "rep", F.col("n").alias("weight"), "shard").filter("`to` <> shard").drop("shard"), "guests")
+    wide_home = home.filter("shards > 1")
     groups = guests.groupBy("cluster", "to").agg(_in_shards("weight").alias("groups"))
     every_group = F.explode(F.sequence(F.lit(0), F.col("groups") - 1)).alias("group")
     asking = guests.join(groups, ["cluster", "to"]).withColumn("group", F.pmod(F.xxhash64(F.lit(5), "rep"), F.col("groups")).cast("int"))
-    asking = asking.select("cluster", F.col("to").alias("shard"), "group", "rep", F.lit(1).alias("guest")).join(home.select("rep", "elements"), "rep")
-    there = asked.join(groups.select("cluster", F.col("to").alias("shard"), every_group), ["cluster", "shard"])
+    asking = asking.select("cluster", F.col("to").alias("shard"), "group", "rep", F.lit(1).alias("guest")).join(wide_home.select("rep", "elements"), "rep")
+    there = wide_home.select(*asked.columns[:4], F.lit(0).alias("guest")).join(groups.select("cluster", F.col("to").alias("shard"), every_group), ["cluster", "shard"])
     second = there.unionByName(asking).groupBy("cluster", "shard", "group").applyInArrow(_search_shard(num, den, True), _EDGES)
     return first.unionByName(stored(second, "links"))
 
@@ -383,13 +381,16 @@ def similar_documents(docs: DataFrame, size: int = 5, percent: int = 80) -> Data
     # step 2: classes that share a signature
     likely = _shared_counts(_signature_requests(docs, size, num / den, parts), parts).select(F.col("owner").alias("set_a"))
     wanted = stored(classes.join(likely, "set_a", "left_semi"), "likely")
+    drop_stored()
     # a sort-merge join at every size: the wanted ids grow with the documents
     ids = wanted.select("rep", "n").hint("merge")
     texts = _texts(docs).join(ids, F.col("doc_id") == F.col("rep")).select("rep", "n", "text")
     texts = stored(texts, "texts")
+    drop_stored()
     # step 3: classes of which enough shingles occur elsewhere
     shared = _shared_counts(_shingle_requests(texts, size, parts), parts).withColumnRenamed("owner", "_rep").withColumnRenamed("n", "shared")
-    kept = texts.join(shared, F.col("rep") == F.col("_rep")).filter(F.col("shared") * den >= F.col("n") * num)
+    enough = wanted.join(shared, F.col("rep") == F.col("_rep")).filter(F.col("shared") * den >= F.col("n") * num).select("rep")
+    kept = texts.join(stored(enough, "enough"), "rep", "left_semi")
     sets = stored(_sets(kept, size, num, den), "kept")
     drop_stored(wanted, texts)
     component = stored(connected_components(_links(sets, num, den)).withColumnRenamed("node", "rep"), "components")
