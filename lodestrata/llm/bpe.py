@@ -329,9 +329,15 @@ def round_trip_digests(docs: DataFrame, path: str | None = None) -> DataFrame:
 
 
 def token_counter(spark: SparkSession, path: str | None = None):
-    """A function for tasks: how many tokens a text has; ids are counted run by run and not kept."""
+    """A function for tasks, to be called once in each, that makes one which says how many tokens a
+    text has; ids are counted run by run and not kept."""
     source = _sent(spark, path)
-    return lambda text: sum(len(ids) // 4 for ids in _tokenizer(source.value).encode_runs(text))
+
+    def make():
+        bpe = _tokenizer(source.value)
+        return lambda text: sum(len(ids) // 4 for ids in bpe.encode_runs(text))
+
+    return make
 
 
 def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:

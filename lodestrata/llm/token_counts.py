@@ -185,9 +185,10 @@ def counted(docs: DataFrame) -> DataFrame:
 def counted_bpe(docs: DataFrame, path: str | None = None) -> DataFrame:
     """doc_id, source, lang, tokenizer, tokens under the byte-level tokenizer of bpe.py."""
     bounded_batches(docs.sparkSession)
-    count = token_counter(docs.sparkSession, path)
+    counter = token_counter(docs.sparkSession, path)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        count = counter()
         for batch in batches:
             n = [count(t or "") for t in batch.column(3).to_pylist()]
             yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array([BPE] * len(n), pa.string()), pa.array(n, pa.int64())], ["doc_id", "source", "lang", "tokenizer", "tokens"])
