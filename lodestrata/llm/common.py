@@ -6,6 +6,7 @@ import gc
 import time
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from ..sources.commits import Files, scratch
 
@@ -48,6 +49,26 @@ def drop_stored(*frames: DataFrame) -> None:
         time.sleep(0.3)
 
 
+#: Rows of one file have numbers below this.
+_FILE_ROWS = 1 << 40
+
+
+def row_numbered(df: DataFrame, name: str) -> DataFrame:
+    """df with a number of each row that is the same in every read.
+
+    Rows of files, read as they are, are numbered by file and place in the file, so nothing is
+    written: the files' names, a row a file, are all that is collected.  Other rows are stored once.
+    """
+    if df._jdf.queryExecution().analyzed().getClass().getSimpleName() != "LogicalRelation":
+        return stored(df.withColumn(name, F.monotonically_increasing_id()), "rows")
+    path = free_name("_path", *df.columns, name)
+    names = sorted(r[0] for r in df.select(F.col("_metadata.file_path")).distinct().collect())
+    at = free_name("_at", *df.columns, name)
+    table = df.sparkSession.createDataFrame([(n, i * _FILE_ROWS) for i, n in enumerate(names)], f"{path} string, {at} long")
+    placed = df.select("*", F.col("_metadata.file_path").alias(path), F.col("_metadata.row_index").alias(name))
+    return placed.join(F.broadcast(table), path).withColumn(name, F.col(name) + F.col(at)).select(*df.columns, name)
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 

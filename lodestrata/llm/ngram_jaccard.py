@@ -39,7 +39,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, documents, drop_stored, free_name, shards, stored
+from .common import bounded_batches, documents, drop_stored, free_name, row_numbered, shards, stored
 from .components import connected_components
 from .embedding_dedup import _Forest
 from .hashing import mix, shingle_sets
@@ -404,10 +404,10 @@ def similar_documents(docs: DataFrame, size: int = 5, percent: int = 80) -> Data
 def keep_one_of_similar(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
     """The rows of docs, all columns, without those that links join to one with a smaller doc_id.
 
-    Rows are numbered once and linked by number, so ids may repeat or be null (null ids come last).
+    Rows are linked by numbers of their own, so ids may repeat or be null (null ids come last).
     """
     row = free_name("_row", *docs.columns)
-    numbered = stored(docs.withColumn(row, F.monotonically_increasing_id()), "rows")
+    numbered = row_numbered(docs, row)
     found = similar_documents(numbered.select(F.col(row).alias("doc_id"), "text"), size, percent)
     members = found.select(F.col("doc_id").alias(row), "component_id").join(numbered.select(row, F.col("doc_id").cast("long").alias("_id")), row)
     best = members.groupBy("component_id").agg(F.min(F.struct(F.col("_id").isNull(), "_id", row)).alias("_best")).select(F.col(f"_best.{row}").alias(row))

@@ -135,3 +135,25 @@ def test_word_hashes_at_piece_borders(monkeypatch):
     assert [len(s) for s in shingle_sets(pa.array(texts), 3)] == [len(shingles(t, 3)) for t in texts]
     part = pa.array(["skip", *texts])[1:]
     assert word_hashes(part)[0].tolist() == want.tolist()
+
+
+def test_rows_are_kept_apart_whatever_their_ids(spark, tmp_path):
+    """Files of several row groups, and a frame that isn't a file: the same rows stay."""
+    from lodestrata.llm.common import row_numbered
+    from lodestrata.llm.ngram_jaccard import keep_one_of_similar
+
+    base = [" ".join(f"w{k}x{j}" for j in range(60)) for k in range(40)]
+    rows = [(None if k % 3 == 0 else 7 if k % 3 == 1 else k, t + f" tail{c}" * (c > 0), k) for k, t in enumerate(base) for c in range(3)]
+    rows += [(None, None, 100), (7, "", 101), (None, "one", 102), (7, "one", 102)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, _row int").repartition(4)
+    docs.write.parquet(str(tmp_path / "docs"))
+    files = spark.read.parquet(str(tmp_path / "docs"))
+    numbers = row_numbered(files, "n")
+    assert numbers.select("n").distinct().count() == len(rows)
+    again = row_numbered(files.repartition(3).select("*"), "n")  # stored, not read as files
+    assert again.select("n").distinct().count() == len(rows)
+    for frame in (docs, files):
+        kept = keep_one_of_similar(frame, 5, 80)
+        assert kept.columns == ["doc_id", "text", "_row"]
+        got = sorted((r["_row"], r["doc_id"] is None) for r in kept.collect())
+        assert got == sorted([(k, k % 3 == 0) for k in range(40)] + [(100, True), (101, False), (102, False)])
