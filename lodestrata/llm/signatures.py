@@ -3,8 +3,10 @@
 If J(A, B) >= t, the two differ in at most k = (1 - t) / (1 + t) * (|A| + |B|) elements.  Elements are
 dealt by hash into more than k parts, so some part is untouched: the sums of its elements' hashes
 agree.  An untouched part may be empty, which tells nothing; so there are E parts more than that, and
-a set with more than E empty parts has one signature more, which stands for having so many.  Sizes
-are cut into bands; the number of parts belongs to a band, and a set near the lower edge of a band is
+a set with more than E empty parts is dealt again by another hash: two similar sets share a part of the
+first dealing, or have both been dealt again.  What exceeds E in every dealing (of independent hashes, so
+fewer by a constant factor each time) shares one signature, which stands for that.  Sizes are cut into
+bands; the number of parts belongs to a band, and a set near the lower edge of a band is
 also given the signatures of the band below, as its partners may lie there.
 """
 
@@ -18,6 +20,8 @@ import numpy as np
 from .hashing import mix
 
 RATIO = 1.35
+#: Dealings of a set that has more empty parts than are spared.
+DEALINGS = 6
 
 
 @cache
@@ -41,15 +45,18 @@ def bands(threshold: float) -> tuple[list[int], list[tuple[int, int]]]:
 
 
 def _in_band(elements: np.ndarray, band: int, parts: int, spare: int) -> np.ndarray:
-    part = ((elements >> np.uint64(32)) * np.uint64(parts)) >> np.uint64(32)
-    sums = np.zeros(parts, np.uint64)
-    np.add.at(sums, part.astype(np.int64), elements | np.uint64(1))
-    held = np.bincount(part.astype(np.int64), minlength=parts)
-    full = np.flatnonzero(held)
-    out = mix(sums[full] ^ mix(full.astype(np.uint64) + np.uint64(band << 32)))
-    if parts - len(full) > spare:
-        out = np.append(out, mix(np.array([(band << 32) + 0xFFFFFFFF], np.uint64)))
-    return out
+    out = []
+    for dealing in range(DEALINGS):
+        tag = (dealing << 48) + (band << 32)
+        dealt = mix(elements + np.uint64(dealing)) if dealing else elements
+        part = (((dealt >> np.uint64(32)) * np.uint64(parts)) >> np.uint64(32)).astype(np.int64)
+        sums = np.zeros(parts, np.uint64)
+        np.add.at(sums, part, elements | np.uint64(1))
+        full = np.flatnonzero(np.bincount(part, minlength=parts))
+        out.append(mix(sums[full] ^ mix(full.astype(np.uint64) + np.uint64(tag))))
+        if parts - len(full) <= spare:
+            return np.concatenate(out)
+    return np.append(np.concatenate(out), mix(np.array([(band << 32) + 0xFFFFFFFF], np.uint64)))
 
 
 def signatures(elements: np.ndarray, threshold: float) -> np.ndarray:

@@ -120,6 +120,28 @@ def test_signatures_of_similar_sets_meet():
         assert met > 100
 
 
+def test_sets_dealt_again_meet_and_seldom_share_the_last_signature(monkeypatch):
+    from lodestrata.llm import signatures as module
+
+    rnd = np.random.default_rng(9)
+    last = mix(np.array([(b << 32) + 0xFFFFFFFF for b in range(200)], np.uint64))
+    # nothing is spared, so that most sets are dealt again, and some in every dealing
+    monkeypatch.setattr(module, "bands", lambda t, whole=module.bands: (whole(t)[0], [(p - s, 0) for p, s in whole(t)[1]]))
+    again = ended = 0
+    for _ in range(600):
+        n = int(rnd.integers(10, 200))
+        a = np.unique(mix(rnd.integers(0, 2**60, n).astype(np.uint64)))
+        b = a[rnd.random(len(a)) < 0.92]
+        x = module.signatures(a, 0.8)
+        ended += bool(np.isin(x, last).any())
+        monkeypatch.setattr(module, "DEALINGS", 1)
+        again += bool(np.isin(module.signatures(a, 0.8), last).any())
+        monkeypatch.setattr(module, "DEALINGS", 6)
+        if len(b) >= 0.8 * len(a):
+            assert len(np.intersect1d(x, module.signatures(b, 0.8)))
+    assert again and ended < again
+
+
 def test_word_hashes_at_piece_borders(monkeypatch):
     import lodestrata.llm.hashing as h
 
