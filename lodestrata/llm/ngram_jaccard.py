@@ -387,7 +387,9 @@ def similar_documents(docs: DataFrame, size: int = 5, percent: int = 80) -> Data
     texts = _texts(docs).join(ids, F.col("doc_id") == F.col("rep")).select("rep", "n", "text")
     texts = stored(texts, "texts")
     drop_stored()
-    # step 3: classes of which enough shingles occur elsewhere
+    # step 3: classes of which enough shingles occur elsewhere; fewer parts where step 2 has left less
+    elements = wanted.agg(F.sum("n")).first()[0] or 0
+    parts = max(4 * shards(spark), elements // PART_ELEMENTS)
     shared = _shared_counts(_shingle_requests(texts, size, parts), parts).withColumnRenamed("owner", "_rep").withColumnRenamed("n", "shared")
     enough = wanted.join(shared, F.col("rep") == F.col("_rep")).filter(F.col("shared") * den >= F.col("n") * num).select("rep")
     kept = texts.join(stored(enough, "enough"), "rep", "left_semi")
