@@ -19,7 +19,8 @@ find to one outside is found from there), so a group of near copies takes about
 Only documents outside the largest component of a cluster ask in its other shards too, in groups of
 bounded size; these rows are the documents outside times the cluster's shards.  What belongs to a cluster as a
 whole is joined over SPREAD salts, so that a large one is many tasks' work.  Links leave a task as
-spanning edges.  There is no cap on list lengths, candidates or partners.
+spanning edges.  There is no cap on list lengths, candidates or partners.  Joins of tables that grow with
+the documents are sort-merge joins at every size: no such table passes through the driver as a broadcast.
 
 Defined cases: a null text counts as empty; a text without words has the empty set and links with
 nothing; one with fewer words than a shingle has one element; documents with the same id are one
@@ -338,14 +339,13 @@ def _links(sets: DataFrame, num: int, den: int) -> DataFrame:
     """(u, v): links that connect whatever is connected by similarity."""
     lists = sets.select("rep", F.explode("signatures").alias("element"))
     hubs = lists.groupBy("element").agg(F.min("rep").alias("hub"), F.max("rep").alias("_last")).filter("hub <> _last").drop("_last")
-    # a sort-merge join at every size: shared signatures grow with the documents
     near = lists.join(hubs.hint("merge"), "element").filter("rep <> hub").select(F.col("hub").alias("u"), F.col("rep").alias("v")).distinct()
     clusters = connected_components(near).select(F.col("node").alias("rep"), F.col("component").alias("cluster"))
-    light = stored(sets.select("rep", "n").join(clusters, "rep"), "clusters")
+    light = stored(sets.select("rep", "n").join(clusters.hint("merge"), "rep"), "clusters")
     wide = stored(light.groupBy("cluster").agg(_in_shards("n").alias("shards")).filter("shards > 1"), "wide")
     dealt = _for_clusters(light, wide).withColumn("shards", F.coalesce("shards", F.lit(1)))
     dealt = dealt.withColumn("shard", F.pmod(F.xxhash64("rep"), F.col("shards")).cast("int"))
-    home = stored(dealt.join(sets.select("rep", "elements"), "rep"), "members")
+    home = stored(dealt.join(sets.select("rep", "elements").hint("merge"), "rep"), "members")
     asked = home.select("cluster", "shard", "rep", "elements", F.lit(0).alias("guest"))
     # the hub of a cluster asks in all of its shards
     every = F.explode(F.sequence(F.lit(0), F.col("shards") - 1))
@@ -356,7 +356,7 @@ def _links(sets: DataFrame, num: int, den: int) -> DataFrame:
         return first
     # clusters of several shards: whoever is outside the largest component asks in other shards
     parts = connected_components(first).withColumnRenamed("node", "rep")
-    placed = home.filter("shards > 1").select("rep", "n", "cluster", "shard", "shards").join(parts, "rep", "left").withColumn("component", F.coalesce("component", "rep"))
+    placed = home.filter("shards > 1").select("rep", "n", "cluster", "shard", "shards").join(parts.hint("merge"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
     largest = placed.groupBy("cluster", "component").count().groupBy("cluster").agg(F.max_by("component", F.struct("count", "component")).alias("largest"))
     outside = _for_clusters(placed, largest).filter("component <> largest")
     guests = stored(outside.select("cluster", every.alias("to"), "rep", F.col("n").alias("weight"), "shard").filter("`to` <> shard").drop("shard"), "guests")
@@ -364,7 +364,7 @@ def _links(sets: DataFrame, num: int, den: int) -> DataFrame:
     groups = guests.groupBy("cluster", "to").agg(_in_shards("weight").alias("groups"))
     every_group = F.explode(F.sequence(F.lit(0), F.col("groups") - 1)).alias("group")
     asking = guests.join(groups, ["cluster", "to"]).withColumn("group", F.pmod(F.xxhash64(F.lit(5), "rep"), F.col("groups")).cast("int"))
-    asking = asking.select("cluster", F.col("to").alias("shard"), "group", "rep", F.lit(1).alias("guest")).join(wide_home.select("rep", "elements"), "rep")
+    asking = asking.select("cluster", F.col("to").alias("shard"), "group", "rep", F.lit(1).alias("guest")).join(wide_home.select("rep", "elements").hint("merge"), "rep")
     there = wide_home.select(*asked.columns[:4], F.lit(0).alias("guest")).join(groups.select("cluster", F.col("to").alias("shard"), every_group), ["cluster", "shard"])
     second = there.unionByName(asking).groupBy("cluster", "shard", "group").applyInArrow(_search_shard(num, den, True), _EDGES)
     return first.unionByName(stored(second, "links"))
@@ -380,9 +380,8 @@ def similar_documents(docs: DataFrame, size: int = 5, percent: int = 80) -> Data
     classes = index.filter("n_shingles > 0 and doc_id is not null").groupBy("set_a", "set_b").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n"))
     # step 2: classes that share a signature
     likely = _shared_counts(_signature_requests(docs, size, num / den, parts), parts).select(F.col("owner").alias("set_a"))
-    wanted = stored(classes.join(likely, "set_a", "left_semi"), "likely")
+    wanted = stored(classes.join(likely.hint("merge"), "set_a", "left_semi"), "likely")
     drop_stored()
-    # a sort-merge join at every size: the wanted ids grow with the documents
     ids = wanted.select("rep", "n").hint("merge")
     texts = _texts(docs).join(ids, F.col("doc_id") == F.col("rep")).select("rep", "n", "text")
     texts = stored(texts, "texts")
@@ -391,14 +390,14 @@ def similar_documents(docs: DataFrame, size: int = 5, percent: int = 80) -> Data
     elements = wanted.agg(F.sum("n")).first()[0] or 0
     parts = max(4 * shards(spark), elements // PART_ELEMENTS)
     shared = _shared_counts(_shingle_requests(texts, size, parts), parts).withColumnRenamed("owner", "_rep").withColumnRenamed("n", "shared")
-    enough = wanted.join(shared, F.col("rep") == F.col("_rep")).filter(F.col("shared") * den >= F.col("n") * num).select("rep")
-    kept = texts.join(stored(enough, "enough"), "rep", "left_semi")
+    enough = wanted.join(shared.hint("merge"), F.col("rep") == F.col("_rep")).filter(F.col("shared") * den >= F.col("n") * num).select("rep")
+    kept = texts.join(stored(enough, "enough").hint("merge"), "rep", "left_semi")
     sets = stored(_sets(kept, size, num, den), "kept")
     drop_stored(wanted, texts)
     component = stored(connected_components(_links(sets, num, den)).withColumnRenamed("node", "rep"), "components")
     drop_stored(sets)
-    named = classes.join(component, "rep", "left").select("set_a", "set_b", F.coalesce("component", "rep").alias("component_id"))
-    joined = index.join(named, ["set_a", "set_b"], "left")
+    named = classes.join(component.hint("merge"), "rep", "left").select("set_a", "set_b", F.coalesce("component", "rep").alias("component_id"))
+    joined = index.join(named.hint("merge"), ["set_a", "set_b"], "left")
     own = F.when((F.col("n_shingles") > 0) & F.col("doc_id").isNotNull(), F.col("component_id")).otherwise(F.col("doc_id"))
     return joined.select("doc_id", "n_shingles", own.alias("component_id"))
 
@@ -411,9 +410,8 @@ def keep_one_of_similar(docs: DataFrame, size: int = 5, percent: int = 80) -> Da
     row = free_name("_row", *docs.columns)
     numbered = row_numbered(docs, row)
     found = similar_documents(numbered.select(F.col(row).alias("doc_id"), "text"), size, percent)
-    members = found.select(F.col("doc_id").alias(row), "component_id").join(numbered.select(row, F.col("doc_id").cast("long").alias("_id")), row)
+    members = found.select(F.col("doc_id").alias(row), "component_id").join(numbered.select(row, F.col("doc_id").cast("long").alias("_id")).hint("merge"), row)
     best = members.groupBy("component_id").agg(F.min(F.struct(F.col("_id").isNull(), "_id", row)).alias("_best")).select(F.col(f"_best.{row}").alias(row))
-    # a sort-merge join at every size: the rows that stay grow with the documents
     return numbered.join(stored(best, "stays").hint("merge"), row, "left_semi").drop(row)
 
 
