@@ -9,7 +9,9 @@ What may be similar is found exactly, in steps that each read less:
 1. equal sets become one class, whose smallest id stands for it;
 2. signatures (see signatures.py) of which similar sets share one; classes without a shared one go;
 3. classes in which fewer shingles than any partner needs occur elsewhere go;
-4. what is left forms clusters by shared signatures, which are searched in shards of bounded size.
+4. what is left forms clusters by shared signatures; those of more than one shard are formed again by
+   pairs that share as many signatures as similar sets must (_refined), as single ones link by chance;
+5. clusters are searched in shards of bounded size.
 
 Scale: 2 and 3 are one exchange: each batch of texts sends its distinct keys, one a batch however
 often it has them, so a passage that every document holds is one key a batch; keys are dealt into as
@@ -44,10 +46,12 @@ from .common import bounded_batches, documents, drop_stored, free_name, row_numb
 from .components import connected_components
 from .embedding_dedup import _Forest
 from .hashing import mix, shingle_sets
-from .signatures import signatures
+from .signatures import full_parts, signatures
 
 #: Members, and elements, of one shard of a cluster.
 SHARD_MEMBERS, SHARD_ELEMENTS = 1024, 2_000_000
+#: Sets with one signature, up to which its pairs are counted one by one.
+LIGHT = 256
 #: Parts that the rows of one cluster are dealt into for a join by cluster.
 SPREAD = 64
 #: Elements of one part of an exchange of keys, about.
@@ -227,7 +231,7 @@ def _shingle_requests(texts: DataFrame, size: int, parts: int) -> DataFrame:
     return texts.select("rep", "text").mapInArrow(run, _REQUEST)
 
 
-_SETS = "rep long, n long, elements binary, signatures array<long>"
+_SETS = "rep long, n long, full long, elements binary, signatures array<long>"
 
 
 def _sets(texts: DataFrame, size: int, num: int, den: int) -> DataFrame:
@@ -238,7 +242,7 @@ def _sets(texts: DataFrame, size: int, num: int, den: int) -> DataFrame:
             sets = shingle_sets(batch.column(1), size)
             n = [len(s) for s in sets]
             marks = [signatures(s, num / den).view(np.int64).tolist() for s in sets]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary()), pa.array(marks, pa.list_(pa.int64()))], ["rep", "n", "elements", "signatures"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array([full_parts(s, num / den) for s in sets], pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary()), pa.array(marks, pa.list_(pa.int64()))], ["rep", "n", "full", "elements", "signatures"])
 
     return texts.select("rep", "text").mapInArrow(run, _SETS)
 
@@ -335,14 +339,53 @@ def _in_shards(n: str) -> Column:
     return F.greatest(F.ceil(F.count("*") / SHARD_MEMBERS), F.ceil(F.sum(n) / SHARD_ELEMENTS)).cast("int")
 
 
+def _clusters(near: DataFrame) -> DataFrame:
+    return connected_components(near).select(F.col("node").alias("rep"), F.col("component").alias("cluster"))
+
+
+def _wide(clusters: DataFrame) -> DataFrame:
+    return stored(clusters.groupBy("cluster").agg(_in_shards("n").alias("shards")).filter("shards > 1"), "wide")
+
+
+def _refined(sets: DataFrame, members: DataFrame, num: int, den: int) -> DataFrame:
+    """(u, v): links such that similar ones of these members still meet in a cluster.
+
+    The smaller set of a similar pair shares with the other all its full parts but those that their
+    difference touches, which has (den - num) / (den + num) of both sizes at most.  Signatures of more
+    than LIGHT sets link all that have them; a pair that shares none of these shares as many others as
+    that.  Counting takes at most LIGHT / 2 numbers for each signature of a set, and no elements.
+    """
+    own = sets.select("rep", "n", "full", "signatures").join(members.select("rep").hint("merge"), "rep", "left_semi")
+    lists = own.select("rep", "n", "full", F.explode("signatures").alias("element"))
+    sizes = lists.groupBy("element").agg(F.min("rep").alias("hub"), F.count("*").alias("_sets")).filter("_sets > 1")
+    marked = lists.join(sizes.hint("merge"), "element")
+    heavy = marked.filter((F.col("_sets") > LIGHT) & (F.col("rep") != F.col("hub"))).select(F.col("hub").alias("u"), F.col("rep").alias("v")).distinct()
+    groups = marked.filter(F.col("_sets") <= LIGHT).groupBy("element").agg(F.array_sort(F.collect_list(F.struct("n", "rep", "full"))).alias("_all"))
+    # of each set those that follow it, by size, and can reach the similarity by theirs
+    each = groups.select(F.posexplode("_all").alias("_at", "_one"), "_all")
+    later = F.filter(F.slice("_all", F.col("_at") + 2, F.size("_all")), lambda x: x["n"] * num <= F.col("_one.n") * den)
+    sent = each.select(F.col("_one.rep").alias("u"), F.col("_one.n").alias("n"), F.col("_one.full").alias("full"), later.alias("_later")).filter(F.size("_later") > 0)
+    sent = sent.select("u", "n", "full", F.transform("_later", lambda x: x["rep"]).alias("v"), F.transform("_later", lambda x: x["n"].cast("int")).alias("m"))
+    pairs = sent.repartition("u").select("u", "n", "full", F.explode(F.arrays_zip("v", "m")).alias("_pair")).groupBy("u", "_pair.v", "_pair.m", "n", "full").agg(F.count("*").alias("shared"))
+    enough = pairs.filter(F.col("shared") >= F.col("full") - F.expr(f"({den - num} * (n + m)) div {den + num}"))
+    return heavy.union(enough.select("u", "v"))
+
+
 def _links(sets: DataFrame, num: int, den: int) -> DataFrame:
     """(u, v): links that connect whatever is connected by similarity."""
     lists = sets.select("rep", F.explode("signatures").alias("element"))
     hubs = lists.groupBy("element").agg(F.min("rep").alias("hub"), F.max("rep").alias("_last")).filter("hub <> _last").drop("_last")
     near = lists.join(hubs.hint("merge"), "element").filter("rep <> hub").select(F.col("hub").alias("u"), F.col("rep").alias("v")).distinct()
-    clusters = connected_components(near).select(F.col("node").alias("rep"), F.col("component").alias("cluster"))
-    light = stored(sets.select("rep", "n").join(clusters.hint("merge"), "rep"), "clusters")
-    wide = stored(light.groupBy("cluster").agg(_in_shards("n").alias("shards")).filter("shards > 1"), "wide")
+    light = stored(sets.select("rep", "n").join(_clusters(near).hint("merge"), "rep"), "clusters")
+    wide = _wide(light)
+    if not wide.isEmpty():
+        # a table with a row for each wide cluster: a signature shared by chance chains many sets into few
+        shards = _for_clusters(light, wide)
+        members = stored(shards.filter("shards is not null").select("rep", "n"), "chained")
+        again = members.join(_clusters(_refined(sets, members, num, den)).hint("merge"), "rep")
+        before, light = (light, wide, members), stored(shards.filter("shards is null").select("rep", "n", "cluster").unionByName(again), "clusters")
+        drop_stored(*before)
+        wide = _wide(light)
     dealt = _for_clusters(light, wide).withColumn("shards", F.coalesce("shards", F.lit(1)))
     dealt = dealt.withColumn("shard", F.pmod(F.xxhash64("rep"), F.col("shards")).cast("int"))
     home = stored(dealt.join(sets.select("rep", "elements").hint("merge"), "rep"), "members")

@@ -59,6 +59,17 @@ def _in_band(elements: np.ndarray, band: int, parts: int, spare: int) -> np.ndar
     return np.append(np.concatenate(out), mix(np.array([(band << 32) + 0xFFFFFFFF], np.uint64)))
 
 
+def full_parts(elements: np.ndarray, threshold: float) -> int:
+    """How many parts of a set's first dealing, in its own band, are not empty.
+
+    A set that is similar and not smaller has all of them but those that a difference touches, and
+    shares as many signatures at least.
+    """
+    starts, shape = bands(threshold)
+    parts = np.uint64(shape[int(np.searchsorted(starts, len(elements), side="right")) - 1][0]) if len(elements) else np.uint64(0)
+    return len(np.unique(((elements >> np.uint64(32)) * parts) >> np.uint64(32)))
+
+
 def signatures(elements: np.ndarray, threshold: float) -> np.ndarray:
     """Signatures of a set of mixed 64-bit hashes; none of the empty set."""
     n = len(elements)

@@ -179,3 +179,46 @@ def test_rows_are_kept_apart_whatever_their_ids(spark, tmp_path):
         assert kept.columns == ["doc_id", "text", "_row"]
         got = sorted((r["_row"], r["doc_id"] is None) for r in kept.collect())
         assert got == sorted([(k, k % 3 == 0) for k in range(40)] + [(100, True), (101, False), (102, False)])
+
+
+@pytest.mark.parametrize("light", [256, 3])
+def test_sets_chained_by_single_signatures_do_not_ask_everywhere(spark, monkeypatch, light):
+    """Texts of common passages share signatures by chance, and are similar to few."""
+    rnd, guests, stored = random.Random(12), [], ngram_jaccard.stored
+
+    def counted(df, name):
+        out = stored(df, name)
+        guests.extend([out.count()] if name == "guests" else [])
+        return out
+
+    monkeypatch.setattr(ngram_jaccard, "stored", counted)
+    monkeypatch.setattr(ngram_jaccard, "SHARD_MEMBERS", 8)
+    monkeypatch.setattr(ngram_jaccard, "LIGHT", light)
+    pool = [[f"p{k}w{j}" for j in range(14)] for k in range(24)]
+    texts = [sum(rnd.sample(pool, rnd.choice([5, 6, 7])), []) for _ in range(70)]
+    for k in range(0, 70, 7):  # few have near copies, of them and of their copies
+        copy = list(texts[k])
+        for i in range(3):
+            copy = [*copy, f"c{k}i{i}", f"d{k}i{i}"]
+            texts.append(copy)
+    rows = [(i, " ".join(t)) for i, t in enumerate(texts)]
+    assert run(spark, rows, 3, 80) == brute(rows, 3, 80)
+    if light == 256:
+        assert sum(guests) < len(rows)  # each of the chain asked in all of its shards
+
+
+def test_similar_sets_share_the_full_parts_that_no_difference_touches():
+    from lodestrata.llm.signatures import full_parts
+
+    rnd = np.random.default_rng(8)
+    met = 0
+    for _ in range(1500):
+        n = int(rnd.integers(1, 400))
+        a = mix(rnd.integers(0, 2**60, n).astype(np.uint64))
+        b = np.concatenate([a[rnd.random(n) < rnd.uniform(0.8, 1)], mix(rnd.integers(0, 2**60, int(rnd.integers(0, n // 8 + 2))).astype(np.uint64))])
+        a, b = sorted((np.unique(a), np.unique(b)), key=len)
+        if len(a) and len(np.intersect1d(a, b)) / len(np.union1d(a, b)) >= 0.8:
+            met += 1
+            shared = len(np.intersect1d(signatures(a, 0.8), signatures(b, 0.8)))
+            assert shared >= max(1, full_parts(a, 0.8) - (len(a) + len(b)) * 20 // 180)
+    assert met > 100
